@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import chat_format, quality_rules
+from siltworks.llm import chat_format, near_dedup, quality_rules
 from siltworks.llm.common import table
-from siltworks.llm.sql import OP5_SQL, OP10_SQL
+from siltworks.llm.sql import OP1_SQL, OP5_SQL, OP10_SQL
+
+
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +28,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op10_chat_format": op10_chat_format,
 }
 ORACLES: dict[str, str] = {
+    "op1_near_dedup": OP1_SQL,
     "op5_quality_rules": OP5_SQL,
     "op10_chat_format": OP10_SQL,
 }

@@ -119,7 +119,7 @@ class Words:
         if short:
             for r in np.flatnonzero((count > 0) & (count < k)):
                 a, b = self.split[r], self.split[r + 1]
-                out[split[r]] = (h[a:b] * MULTS[: b - a]).sum(dtype=np.uint64) + MULTS[63] * _U(b - a)
+                out[split[r]] = np.append(h[a:b] * MULTS[: b - a], MULTS[63:] * _U(b - a)).sum(dtype=np.uint64)
         return mix(out), word, split
 
 
