@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import chat_format, near_dedup, quality_rules
+from siltworks.llm import chat_format, near_dedup, quality_classifier, quality_rules, token_counts
 from siltworks.llm.common import table
 from siltworks.llm.sql import OP1_SQL, OP5_SQL, OP10_SQL
 
@@ -15,10 +15,18 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.digest(token_counts.token_counts(table(spark, sf_dir, "documents")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql(
@@ -29,7 +37,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
+    "op7_quality_classifier": op7_quality_classifier,
     "op10_chat_format": op10_chat_format,
 }
 ORACLES: dict[str, str] = {
