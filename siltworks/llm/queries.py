@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import chat_format, near_dedup, quality_classifier, quality_rules, token_counts
+from siltworks.llm import chat_format, decontaminate, near_dedup, quality_classifier, quality_rules, token_counts
 from siltworks.llm.common import table
-from siltworks.llm.sql import OP1_SQL, OP5_SQL, OP10_SQL
+from siltworks.llm.sql import OP1_SQL, OP2_SQL, OP5_SQL, OP10_SQL
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.digest(token_counts.token_counts(table(spark, sf_dir, "documents")))
 
@@ -37,6 +41,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_decontaminate": op2_decontaminate,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_near_dedup": OP1_SQL,
+    "op2_decontaminate": OP2_SQL,
     "op5_quality_rules": OP5_SQL,
     "op10_chat_format": OP10_SQL,
 }

@@ -37,6 +37,25 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_i
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.a = d.doc_id
 """
 
+_words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, {_words} AS w FROM documents),
+b AS (SELECT item_id, len(w) AS n, least(len(w), 5) AS k, w FROM (SELECT item_id, {_words} AS w FROM benchmark) WHERE len(w) > 0),
+ks AS (SELECT DISTINCT k FROM b),
+bg AS (SELECT item_id, n, k, q, array_to_string(w[q + 1:q + k], ' ') AS g FROM (SELECT *, unnest(generate_series(0, n - k)) AS q FROM b)),
+dg AS (SELECT doc_id, size, k, p, array_to_string(w[p + 1:p + k], ' ') AS g
+       FROM (SELECT doc_id, len(w) AS size, w, k, unnest(generate_series(0, len(w) - k)) AS p FROM d, ks)),
+win AS (SELECT DISTINCT doc_id, item_id, n, bg.k, greatest(0, least(p - q, size - n)) AS s, least(size, n) AS m
+        FROM dg JOIN bg ON dg.g = bg.g AND dg.k = bg.k),
+wg AS (SELECT win.doc_id, win.item_id, win.s, win.n, win.k, win.m, dg.g, count(*) AS c
+       FROM win JOIN dg ON dg.doc_id = win.doc_id AND dg.k = win.k AND dg.p BETWEEN win.s AND win.s + win.m - win.k GROUP BY ALL),
+ig AS (SELECT item_id, g, count(*) AS c FROM bg GROUP BY ALL),
+sc AS (SELECT doc_id, wg.item_id, s, n, sum(least(wg.c, ig.c))::INT AS shared, (m - k + 1 + n - k + 1 - sum(least(wg.c, ig.c)))::INT AS total
+       FROM wg JOIN ig ON ig.item_id = wg.item_id AND ig.g = wg.g GROUP BY doc_id, wg.item_id, s, n, k, m)
+SELECT doc_id, item_id, s::INT AS start, n::INT AS n_words, shared, total FROM sc WHERE 100 * shared >= 80 * total
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / total DESC, s) = 1
+"""
+
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
