@@ -154,10 +154,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     # What the hubs left: buckets with several components.
     of = met.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("comp"))
-    mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("least")).filter("lo != hi")
-    left = cut(of.join(mixed, "key").select("rep", "comp", "least").distinct())
-    families = components(left.select(F.col("rep").alias("u"), F.col("least").alias("v")))
-    unsettled = left.select("rep", "comp").distinct().join(families.select(F.col("node").alias("rep"), F.col("label").alias("family")), "rep")
+    mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi")
+    # The pairs tried join all members of each bucket to its hub, so no bucket is split between families.
+    families = components(pairs, "x", "y")
+    unsettled = of.join(mixed, "key").select("rep", "comp").distinct().join(families.select(F.col("node").alias("rep"), F.col("label").alias("family")), "rep")
     sizes = unsettled.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = unsettled.join(sizes, "family").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     laid = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
