@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +29,19 @@ def ascii_lower(text: Column) -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+    """Cut the lineage: write a table to the shared checkpoint folder and read it.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where neither it
-    nor a folder set on the context exists (tests) is a local one made.
+    The folder is the one set on the context or in the session's
+    ``spark.checkpoint.dir``; only where neither exists (tests) is a local one
+    made.  A written table, unlike ``checkpoint()``, carries no constraints of
+    the plan before it, which grow with every round of an iterative join.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context.getCheckpointDir()
+    path = f"{folder}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
