@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import chat_format, decontaminate, near_dedup, quality_classifier, quality_rules, token_counts
+from siltworks.llm import chat_format, decontaminate, language_id, mixing, near_dedup, quality_classifier, quality_rules, token_counts
 from siltworks.llm.common import table
 from siltworks.llm.sql import OP1_SQL, OP2_SQL, OP5_SQL, OP10_SQL
 
@@ -31,6 +31,18 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages; a page has doc_id -1 - page_id."""
+    docs = table(spark, sf_dir, "documents")
+    languages, learnt = language_id.learn(language_id.labelled(docs))
+    rows = language_id.of_documents(docs).unionByName(language_id.of_pages(table(spark, sf_dir, "pages")))
+    return language_id.identify(rows, languages, learnt)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql(
@@ -45,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_mixing": op8_mixing,
+    "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
 }
 ORACLES: dict[str, str] = {
