@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltworks.llm import chat_format, decontaminate, language_id, mixing, near_dedup, quality_classifier, quality_rules, token_counts
+from siltworks.llm import chat_format, decontaminate, language_id, lm_score, mixing, near_dedup, quality_classifier, quality_rules, token_counts
 from siltworks.llm.common import table
-from siltworks.llm.sql import OP1_SQL, OP2_SQL, OP5_SQL, OP10_SQL
+from siltworks.llm.sql import OP1_SQL, OP2_SQL, OP3_SQL, OP5_SQL, OP10_SQL
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.backoff_scores(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 4).alias("mean_log_score"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.digest(token_counts.token_counts(table(spark, sf_dir, "documents")))
 
@@ -54,6 +60,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op3_lm_score": op3_lm_score,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
@@ -64,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_near_dedup": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
+    "op3_lm_score": OP3_SQL,
     "op5_quality_rules": OP5_SQL,
     "op10_chat_format": OP10_SQL,
 }

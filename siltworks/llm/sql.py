@@ -56,6 +56,32 @@ SELECT doc_id, item_id, s::INT AS start, n::INT AS n_words, shared, total FROM s
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / total DESC, s) = 1
 """
 
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, {_words} AS w FROM documents),
+x AS (SELECT doc_id, i, len(w) AS n, w[i] AS a, w[i - 1] AS b, w[i - 2] AS c FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM d)),
+u AS (SELECT doc_id, a, count(*) AS k FROM x GROUP BY ALL),
+v AS (SELECT doc_id, a, b, count(*) AS k FROM x WHERE i > 1 GROUP BY ALL),
+t AS (SELECT doc_id, a, b, c, count(*) AS k FROM x WHERE i > 2 GROUP BY ALL),
+u1 AS (SELECT doc_id, a, sum(k) OVER (PARTITION BY a) - k AS k FROM u),
+v1 AS (SELECT doc_id, a, b, sum(k) OVER (PARTITION BY a, b) - k AS k FROM v),
+t1 AS (SELECT doc_id, a, b, c, sum(k) OVER (PARTITION BY a, b, c) - k AS k FROM t),
+z AS (SELECT sum(k) AS z FROM u),
+s AS (
+  SELECT x.doc_id,
+         CASE WHEN x.i > 2 AND t1.k > 0 THEN ln(t1.k / vc.k)
+              WHEN x.i > 1 AND v1.k > 0 THEN ln(v1.k / uc.k) + CASE WHEN x.i > 2 THEN ln(0.4) ELSE 0 END
+              ELSE ln(greatest(u1.k, 0.5) / greatest(z.z - x.n, 1)) + least(x.i - 1, 2) * ln(0.4) END AS s
+  FROM x CROSS JOIN z
+  JOIN u1 ON u1.doc_id = x.doc_id AND u1.a = x.a
+  LEFT JOIN v1 ON x.i > 1 AND v1.doc_id = x.doc_id AND v1.a = x.a AND v1.b = x.b
+  LEFT JOIN t1 ON x.i > 2 AND t1.doc_id = x.doc_id AND t1.a = x.a AND t1.b = x.b AND t1.c = x.c
+  LEFT JOIN u1 uc ON x.i > 1 AND uc.doc_id = x.doc_id AND uc.a = x.b
+  LEFT JOIN v1 vc ON x.i > 2 AND vc.doc_id = x.doc_id AND vc.a = x.b AND vc.b = x.c),
+r AS (SELECT doc_id, sum(s) AS s FROM s GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, round(coalesce(s, 0.0), 4)::DOUBLE AS log_score, round(coalesce(s / len(w), 0.0), 4)::DOUBLE AS mean_log_score
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
+
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
