@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import chat_format, decontaminate, language_id, lm_score, mixing, near_dedup, quality_classifier, quality_rules, token_counts
+from siltworks.llm import chat_format, decontaminate, language_id, lm_score, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_counts
 from siltworks.llm.common import table
 from siltworks.llm.sql import OP1_SQL, OP2_SQL, OP3_SQL, OP5_SQL, OP10_SQL
 
@@ -33,6 +33,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.repeated_passages(table(spark, sf_dir, "documents")))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_score": op3_lm_score,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
