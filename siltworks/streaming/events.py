@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _timed(events: DataFrame, late: str) -> DataFrame:
-    return events.withWatermark("ts", late) if events.isStreaming else events
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
 
 
 def sliding(events: DataFrame, length: str, step: str | None, late: str = "10 minutes") -> DataFrame:
