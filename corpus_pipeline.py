@@ -23,8 +23,8 @@ from siltworks.llm.common import cut, table
 
 def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows of ``docs`` whose doc_id is (or, left_anti, isn't) among ``ids``."""
-    chosen = ids.select(F.col("doc_id").alias("chosen_id")).distinct()
-    return docs.join(chosen, docs["doc_id"] == chosen["chosen_id"], how)
+    chosen = ids.select(F.col("doc_id").alias("_chosen_id")).distinct()
+    return docs.join(chosen, docs["doc_id"] == chosen["_chosen_id"], how)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +60,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The copies are the rate rounded up or down: up for the share of documents, by
     the hash of doc_id, that the rate's fraction says.
     """
-    rates = mixing.mix(docs, table(spark, sf_dir, "labels")).select(F.col("doc_id").alias("chosen_id"), "rate").dropDuplicates(["chosen_id"])
+    rates = mixing.mix(docs, table(spark, sf_dir, "labels")).select(F.col("doc_id").alias("_chosen_id"), "rate").dropDuplicates(["_chosen_id"])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     plain = docs.drop("rate", "copies")
-    joined = plain.join(rates, plain["doc_id"] == rates["chosen_id"]).drop("chosen_id")
+    joined = plain.join(rates, plain["doc_id"] == rates["_chosen_id"]).drop("_chosen_id")
     return joined.withColumn("copies", F.floor(F.col("rate") + draw).cast("int")).filter("copies > 0")
 
 
