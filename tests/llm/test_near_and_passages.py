@@ -89,7 +89,7 @@ def test_planted_passages_are_found_and_removed(spark):
     rng = random.Random(7)
     passage, other = prose(rng, 80, 10**6), prose(rng, 64, 10**6)
     near = passage.split()
-    near[20], near[60] = "changed", "words"
+    near[40] = "changed"
     rows = [
         (1, f"{prose(rng, 120, 10**6)} {passage} {prose(rng, 50, 10**6)}"),
         (2, f"{prose(rng, 40, 10**6)}\n{passage}\n{prose(rng, 200, 10**6)} {other}"),
