@@ -70,12 +70,11 @@ def r9_20_stripped_pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.alias("t")).select("page_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("body"))
 
 
-@query("""WITH x AS (SELECT doc_id, text || ' sk-abc_' || doc_id || ' Bearer  tok.' || doc_id AS t FROM documents WHERE n_chars < 1500)
+@query("""WITH x AS (SELECT doc_id, 'sk-abc_' || doc_id || ' Bearer  tok.' || doc_id || ' ' || text AS t FROM documents)
 SELECT doc_id, sha256(regexp_replace(regexp_replace(left(t, 2000), 'sk-[A-Za-z0-9_-]+', 'sk-***', 'g'), 'Bearer +[A-Za-z0-9._-]+', 'Bearer ***', 'g')) AS masked FROM x""")
 def r9_21_masked_secrets(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").filter("n_chars < 1500")
-    t = F.concat("text", F.lit(" sk-abc_"), F.col("doc_id").cast("string"), F.lit(" Bearer  tok."), F.col("doc_id").cast("string"))
-    return x.select("doc_id", F.sha2(clean.mask_secrets(t), 256).alias("masked"))
+    t = F.concat(F.lit("sk-abc_"), F.col("doc_id").cast("string"), F.lit(" Bearer  tok."), F.col("doc_id").cast("string"), F.lit(" "), "text")
+    return table(spark, d, "documents").select("doc_id", F.sha2(clean.mask_secrets(t), 256).alias("masked"))
 
 
 @query("""SELECT c_custkey, CASE WHEN s >= 80 THEN 'pass' WHEN s >= 50 THEN 'warning' ELSE 'fail' END AS level, s AS score
