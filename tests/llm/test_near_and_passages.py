@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+
 from siltworks.llm import decontaminate, near_dedup, substring_dedup
 
 DOCS = "doc_id long, text string, source string, x string"
@@ -123,6 +125,22 @@ def test_many_sharing_one_passage_are_all_found(spark):
     assert {r.doc_id for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()} == set(range(1, 150))
 
 
+def test_a_line_that_also_stands_elsewhere_does_not_break_a_passage():
+    width = substring_dedup.PASSAGE - substring_dedup.WORDS + 1
+    rng = np.random.default_rng(13)
+    fresh = lambda n: rng.integers(1, 2**62, n).astype(np.uint64)
+    for _ in range(60):
+        passage, far, size = fresh(56), int(rng.integers(40, 100)), int(rng.integers(6, 12))
+        for at in (0, 22, 56 - size):
+            line = passage[at : at + size]
+            x = np.concatenate([fresh(10), passage, fresh(10)])
+            for y in ([line, fresh(far), passage, fresh(9)], [fresh(9), passage, fresh(far), line], [line, fresh(far), passage, fresh(far), line], [line, fresh(far), passage, fresh(far), passage]):
+                found = substring_dedup.passages(x, np.concatenate(y), width, 80)
+                assert any(a <= 10 and b >= 65 for a, b, _, _ in found)
+    same = np.full(30_000, 7, np.uint64)
+    assert substring_dedup.passages(same, same, width, 80)
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(11)
     items = [(i, prose(rng, n, 10**6)) for i, n in enumerate([3, 12, 20, 40, 80])] + [(9, None), (10, " ")]
