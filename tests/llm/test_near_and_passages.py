@@ -125,6 +125,29 @@ def test_many_sharing_one_passage_are_all_found(spark):
     assert {r.doc_id for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()} == set(range(1, 150))
 
 
+def test_interleaved_variants_of_a_passage_have_every_exact_repeat(spark):
+    rng = random.Random(17)
+    base, variants, rows = prose(rng, 60, 10**6).split(), [], []
+    for v in range(20):
+        w = list(base)
+        for k in rng.sample(range(60), 3):
+            w[k] = f"v{v}x{k}"
+        variants.append(" ".join(w))
+    seen, expected = set(), set()
+    for i in range(300):
+        v = rng.randrange(20)
+        rows.append((i, f"{prose(rng, 30, 10**6)} {variants[v]} {prose(rng, 30, 10**6)}"))
+        if v in seen:
+            expected.add(i)
+        seen.add(v)
+    whole, text = set(), dict(rows)
+    for r in substring_dedup.repeated_passages(frame(spark, rows)).collect():
+        assert r.other < r.doc_id
+        if r.start <= 30 and r.end >= 90 and text[r.doc_id].split()[30:90] == text[r.other].split()[30:90]:
+            whole.add(r.doc_id)
+    assert whole == expected
+
+
 def test_a_line_that_also_stands_elsewhere_does_not_break_a_passage():
     width = substring_dedup.PASSAGE - substring_dedup.WORDS + 1
     rng = np.random.default_rng(13)
