@@ -73,6 +73,13 @@ def mask_secrets(text: Column, most: int = 2000) -> Column:
     return F.regexp_replace(F.regexp_replace(F.substring(text, 1, most), r"sk-[A-Za-z0-9_-]+", "sk-***"), r"Bearer +[A-Za-z0-9._-]+", "Bearer ***")
 
 
+def scrub_secrets(text: Column, most: int | None = None) -> Column:
+    """The whole text with inline keys and bearer tokens redacted; ``most`` cuts audit strings first, as the reference does."""
+    if most is not None:
+        text = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 14), F.lit("...[truncated]"))).otherwise(text)
+    return F.regexp_replace(text, r"(?iU)(sk-[A-Za-z0-9_-]{20,}|ragflow-[A-Za-z0-9_-]{20,}|Bearer\s+[A-Za-z0-9._\-]{16,})", "***redacted***")
+
+
 def bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring characters."""
     return F.when(F.length(text) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: text.substr(i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
