@@ -7,7 +7,7 @@ that mark a domain are sought in a bounded sample of them (``MARKER_ROWS`` a
 domain, those of least hash); how many a text holds is a feature.  Then
 projected-gradient least squares fits a rate >= 0 for each document so that the
 expected tokens of the domains, rate * tokens * posterior, come to ``targets`` of
-all tokens.  A step needs one sum for each domain over the table; the gradient of
+all tokens; if they can't, a warning says so.  A step needs one sum for each domain over the table; the gradient of
 a document's rate, in the metric of its tokens, is its posteriors times the
 residuals, so no step shuffles rows.
 
@@ -20,7 +20,9 @@ are the smoothed prior; repeated documents get the same rate.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
+from itertools import count
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -34,6 +36,8 @@ TARGETS = {"high": 0.80, "low": 0.15, "toxic": 0.05}
 MARKER_ROWS, MARKERS = 1000, 32
 WORD = "[^\\x20\\x09-\\x0D]+"
 STEPS, CUT_EVERY, TOLERANCE = 60, 6, 1e-4
+#: Rates stand still when a step moves them by less than this (root of the mean square over tokens).
+STILL = 1e-9
 
 
 def domain_of() -> Column:
@@ -109,28 +113,44 @@ def posteriors(shaped: DataFrame, named: DataFrame, domains: list[str]) -> DataF
 
 
 def fit_rates(soft: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """Adds ``rate``: projected gradient from 1 on the squared misses of the targets."""
+    """Adds ``rate``: projected gradient from 1 on the squared misses of the targets.
+
+    Misses are weighed by the inverse of the posteriors' second moments, so a rare domain
+    moves as fast as a frequent one.  Steps go on until all misses are below ``tolerance``,
+    or until rates stand still at a larger one, that is, targets can't be met; then ``steps``
+    steps on plain squares are taken from 1, and a warning names the misses.  Momentum starts anew after ``steps`` steps at the latest.
+    """
     n = len(targets)
     p = lambda k: F.get("p", F.lit(k))
-    total = soft.agg(F.sum("tokens").alias("t"), *[F.sum(F.col("tokens") * p(i) * p(k)).alias(f"g{i}_{k}") for i in range(n) for k in range(n)]).first()
+    total = soft.agg(F.sum("tokens").alias("t"), *[F.sum(F.col("tokens") * p(k)).alias(f"t{k}") for k in range(n)], *[F.sum(F.col("tokens") * p(i) * p(k)).alias(f"g{i}_{k}") for i in range(n) for k in range(n)]).first()
     if not total["t"]:
         return soft.withColumn("rate", F.lit(1.0))
     gram = np.array([[total[f"g{i}_{k}"] for k in range(n)] for i in range(n)]) / total["t"]
-    size = 1 / max(np.linalg.eigvalsh(gram)[-1], 1e-9)
-    table = soft.withColumn("rate", F.lit(1.0)).withColumn("before", F.lit(1.0))
-    for step in range(steps):
+    inverse = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
+    table = soft.withColumn("rate", F.lit(1.0)).withColumn("before", F.lit(1.0)).withColumn("moved", F.lit(1.0))
+    last, run, plain = np.inf, 0, False
+    for step in count():
         # Nesterov's point between the last two rates; the gradient is taken there.
-        ahead = F.col("rate") + step / (step + 3) * (F.col("rate") - F.col("before"))
-        table = table.withColumn("at", ahead)
-        sums = table.agg(*[F.sum(F.col("at") * F.col("tokens") * p(k)) for k in range(n)]).first()
-        miss = np.array(list(sums)) / total["t"] - np.array(targets)
+        ahead = F.col("rate") + run / (run + 3) * (F.col("rate") - F.col("before"))
+        table = table.withColumn("at", F.greatest(F.lit(0.0), ahead))
+        *sums, moved = table.agg(*[F.sum(F.col("at") * F.col("tokens") * p(k)) for k in range(n)], F.sum(F.col("tokens") * F.col("moved"))).first()
+        miss = np.array(sums) / total["t"] - np.array(targets)
         if np.abs(miss).max() < tolerance:
-            return table.select(*soft.columns, F.greatest(F.lit(0.0), F.col("at")).alias("rate"))
-        slope = sum((p(k) * float(miss[k]) for k in range(1, n)), p(0) * float(miss[0]))
-        table = table.select(*soft.columns, F.greatest(F.lit(0.0), F.col("at") - float(size) * slope).alias("rate"), F.col("rate").alias("before"))
+            return table.select(*soft.columns, F.col("at").alias("rate"))
+        if not plain and moved / total["t"] < STILL**2:
+            plain, end, last, run, inverse = True, step + steps, np.inf, 0, np.eye(n) / max(np.linalg.eigvalsh(gram)[-1], 1e-9)
+            table = soft.withColumn("at", F.lit(1.0)).withColumn("rate", F.lit(1.0))
+            miss = np.array([total[f"t{k}"] for k in range(n)]) / total["t"] - np.array(targets)
+        if plain and step == end:
+            warnings.warn(f"targets can't be met; misses {miss.round(6).tolist()}", stacklevel=2)
+            return table.select(*soft.columns, F.col("at").alias("rate"))
+        far = float(miss @ inverse @ miss)
+        run, last = (0 if far > last or run == steps else run + 1), far
+        slope = sum((p(k) * float(x) for k, x in enumerate(inverse @ miss)), F.lit(0.0))
+        then = F.greatest(F.lit(0.0), F.col("at") - slope)
+        table = table.select(*soft.columns, then.alias("rate"), F.col("rate").alias("before"), F.pow(then - F.col("at"), F.lit(2.0)).alias("moved"))
         if step % CUT_EVERY == CUT_EVERY - 1:
             table = cut(table)
-    return table.select(*soft.columns, "rate")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:

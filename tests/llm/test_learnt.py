@@ -67,6 +67,24 @@ def test_rates_meet_targets(spark):
         assert total == pytest.approx(share, abs=0.01)
 
 
+@pytest.mark.parametrize("shares", [(0.95, 0.049, 0.001), (0.02, 0.97, 0.01), (0.90, 0.09, 0.01)])
+def test_skewed_shares_meet_targets(spark, shares):
+    rows = [(k, 1e6 * x, [float(i == k) for i in range(3)]) for k, x in enumerate(shares)]
+    soft = spark.createDataFrame(rows, "doc_id long, tokens double, p array<double>")
+    targets = list(mixing.TARGETS.values())
+    got = {r.doc_id: r.rate for r in mixing.fit_rates(soft, targets).collect()}
+    for k, x in enumerate(shares):
+        assert got[k] * x == pytest.approx(targets[k], abs=mixing.TOLERANCE)
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    soft = spark.createDataFrame([(1, 10.0, [0.5, 0.5]), (2, 30.0, [0.4, 0.6])], "doc_id long, tokens double, p array<double>")
+    with pytest.warns(UserWarning, match="can't be met"):
+        got = mixing.fit_rates(soft, [0.9, 0.1])
+    # All of document 1 and none of 2: 10 r (0.5, 0.5) / 40 is nearest to (0.9, 0.1) at r = 4.
+    assert {r.doc_id: r.rate for r in got.collect()} == pytest.approx({1: 4.0, 2: 0.0}, abs=0.05)
+
+
 def test_mixing_of_odd_rows(spark, odd, labels):
     assert mixing.mix(odd, labels).count() == len(ODD)
     assert mixing.mix(odd, labels.limit(0)).count() == len(ODD)
