@@ -100,27 +100,31 @@ class Words:
             self.hash = np.zeros(0, np.uint64)
 
     def shingles(self, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of k-word shingles, the word at which each starts, and row splits.
-
-        ``short``: a row of 1 to k-1 words has its whole sequence as one shingle.
-        """
-        n, h = len(self.hash), self.hash
-        count = np.diff(self.split)
-        made = np.maximum(count - (k - 1), 0)
-        if short:
-            made = np.where((count > 0) & (made == 0), 1, made)
-        split = np.concatenate([[0], np.cumsum(made)])
-        word = np.arange(split[-1]) + np.repeat(self.split[:-1] - split[:-1], made)
-        padded = np.concatenate([h, np.zeros(k, np.uint64)])
-        total = np.zeros(n, np.uint64)
-        for j in range(k):
-            total += padded[j : j + n] * MULTS[j]
-        out = total[word]
-        if short:
-            for r in np.flatnonzero((count > 0) & (count < k)):
-                a, b = self.split[r], self.split[r + 1]
-                out[split[r]] = np.append(h[a:b] * MULTS[: b - a], MULTS[63:] * _U(b - a)).sum(dtype=np.uint64)
-        return mix(out), word, split
+        return shingles(self.hash, self.split, k, short)
+
+
+def shingles(h: np.ndarray, split: np.ndarray, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of k-word shingles, the word at which each starts, and row splits; from word hashes and the rows' splits of them.
+
+    ``short``: a row of 1 to k-1 words has its whole sequence as one shingle.
+    """
+    n = len(h)
+    count = np.diff(split)
+    made = np.maximum(count - (k - 1), 0)
+    if short:
+        made = np.where((count > 0) & (made == 0), 1, made)
+    ends = np.concatenate([[0], np.cumsum(made)])
+    word = np.arange(ends[-1]) + np.repeat(split[:-1] - ends[:-1], made)
+    padded = np.concatenate([h, np.zeros(k, np.uint64)])
+    total = np.zeros(n, np.uint64)
+    for j in range(k):
+        total += padded[j : j + n] * MULTS[j]
+    out = total[word]
+    if short:
+        for r in np.flatnonzero((count > 0) & (count < k)):
+            a, b = split[r], split[r + 1]
+            out[ends[r]] = np.append(h[a:b] * MULTS[: b - a], MULTS[63:] * _U(b - a)).sum(dtype=np.uint64)
+    return mix(out), word, ends
 
 
 def each(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -116,16 +116,13 @@ def test_tokens_by_section_add_up(spark, odd):
         assert ([s.n_tokens for s in row.sections], row.outside) == (counts, outside)
 
 
-def test_backoff_scores_equal_brute_force(spark):
-    rng = random.Random(1)
-    rows = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 40)))) for i in range(30)] + [(90, None), (91, " "), (92, "a"), (93, "a")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_words, r.log_score) for r in lm_score.backoff_scores(docs, bucket_chars=200).collect()}
-    texts = {i: (t or "").split() for i, t in rows}
+def brute_backoff(rows):
+    """(n_words, log_score) of each row, in order."""
+    texts = [(t or "").split() for _, t in rows]
     grams = lambda w: Counter(tuple(w[j : j + k]) for k in (1, 2, 3) for j in range(len(w) - k + 1))
-    whole = sum((grams(w) for w in texts.values()), Counter())
-    for i, w in texts.items():
-        own, rest = grams(w), max(1, sum(map(len, texts.values())) - len(w))
+    whole, size = sum((grams(w) for w in texts), Counter()), sum(map(len, texts))
+    for w in texts:
+        own, rest = grams(w), max(1, size - len(w))
         c = lambda *g: whole[g] - own[g]  # noqa: B023, E731
         total = 0.0
         for j in range(len(w)):
@@ -135,7 +132,25 @@ def test_backoff_scores_equal_brute_force(spark):
                 total += math.log(c(*w[j - 1 : j + 1]) / c(w[j - 1])) + (math.log(0.4) if j > 1 else 0)
             else:
                 total += math.log(max(c(w[j]), 0.5) / rest) + min(j, 2) * math.log(0.4)
-        assert got[i] == (len(w), pytest.approx(total))
+        yield len(w), total
+
+
+@pytest.mark.parametrize("letters,bucket_chars", [("abcdef", 200), ("abcdefghijklmnopqrstuvwxyz", 60), ("abcdef", 10**6)])
+def test_backoff_scores_equal_brute_force(spark, letters, bucket_chars):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.choice((1, 1, 1, 2))))
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(0, 40)))) for i in range(30)] + [(90, None), (91, " "), (92, "a"), (93, "a"), (None, "a b c"), (7, "a b c d")]
+    # A very long text, and rows repeated with one doc_id.
+    rows += [(94, " ".join(word() for _ in range(30_000))), (5, "b a b a"), (5, "b a b a"), (5, "c c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit("mine").alias(x) for x in ("bucket", "ngram", "part", "words", "totals")])
+    got = sorted((r.doc_id or -1, r.n_words, round(r.log_score, 5), round(r.mean_log_score, 6)) for r in lm_score.backoff_scores(docs, bucket_chars=bucket_chars).collect())
+    said = [(i or -1, n, round(x, 5), round(x / max(n, 1), 6)) for (i, _), (n, x) in zip(rows, brute_backoff(rows), strict=True)]
+    for a, b in zip(got, sorted(said), strict=True):
+        assert a == pytest.approx(b, abs=2e-5)
+
+
+def test_backoff_scores_of_an_empty_table(spark, odd):
+    assert lm_score.backoff_scores(odd.limit(0)).count() == 0
 
 
 def test_rules_of_odd_rows(spark, odd):
