@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,14 +33,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write a table to the shared checkpoint folder and read it.
 
     The folder is the one set on the context or in the session's
-    ``spark.checkpoint.dir``; only where neither exists (tests) is a local one
-    made.  A written table, unlike ``checkpoint()``, carries no constraints of
-    the plan before it, which grow with every round of an iterative join.
+    ``spark.checkpoint.dir``; where neither exists, a session in one process (``local[n]``)
+    gets a temporary one, and a session on a cluster an error, as executors don't see
+    each other's folders.  A written table, unlike ``checkpoint()``, carries no constraints
+    of the plan before it, which grow with every round of an iterative join.  The tables stay
+    until the cluster clears that folder: the returned frame may be read at any time.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         folder = context.getCheckpointDir()
     path = f"{folder}/cut-{uuid.uuid4().hex}"

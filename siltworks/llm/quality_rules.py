@@ -6,8 +6,9 @@ much of its text, or fails the base rules on its whole text.  No shuffle.
 
 Defined cases: null text counts as empty; an empty text has no words and fails
 the base rule; blank lines are neither failures nor text; repeated rows are
-judged alike; further columns are kept by ``clean`` and clash with none of its
-own, as those end in the given prefix.
+judged alike; further columns are kept by ``clean``, whatever their names; one that is
+called like a column which ``clean`` adds (``q_kept``, ...) is replaced by it; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -108,25 +109,26 @@ def line_fails(line: Column, holds: Column) -> Column:
 def clean(docs: DataFrame, text: str = "text", prefix: str = "q_") -> DataFrame:
     """The rows with: the cleaned text, counts of lines and characters, the base counts and the verdict."""
     p = prefix
-    out = docs.withColumn(f"{p}text", F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumn(f"{p}holds", marks_of(F.col(f"{p}text")))
-    out = out.withColumn(f"{p}words", words(F.col(f"{p}text")))
-    out = out.withColumn(f"{p}lines", F.filter(F.split(f"{p}text", "\n"), lambda x: without(x, SPACE_CHARS) != ""))
-    out = out.withColumn(f"{p}distinct", F.array_distinct(f"{p}lines"))
-    out = out.withColumn(f"{p}grams", repeat_words(F.col(f"{p}words"))[0])
+    own = max(docs.columns, key=len) + "__"  # no column of docs starts so
+    out = docs.withColumn(f"{own}text", F.coalesce(F.col(text), F.lit("")))
+    out = out.withColumn(f"{own}holds", marks_of(F.col(f"{own}text")))
+    out = out.withColumn(f"{own}words", words(F.col(f"{own}text")))
+    out = out.withColumn(f"{own}lines", F.filter(F.split(f"{own}text", "\n"), lambda x: without(x, SPACE_CHARS) != ""))
+    out = out.withColumn(f"{own}distinct", F.array_distinct(f"{own}lines"))
+    out = out.withColumn(f"{own}grams", repeat_words(F.col(f"{own}words"))[0])
     # A line equal to an earlier one is boilerplate too: the first of each stays.
-    out = out.withColumn(f"{p}kept_lines", F.filter(f"{p}distinct", lambda x: ~line_fails(x, F.col(f"{p}holds"))))
-    out = out.withColumn(f"{p}clean_text", F.array_join(f"{p}kept_lines", "\n"))
+    out = out.withColumn(f"{own}kept_lines", F.filter(f"{own}distinct", lambda x: ~line_fails(x, F.col(f"{own}holds"))))
+    out = out.withColumn(f"{p}clean_text", F.array_join(f"{own}kept_lines", "\n"))
     return (
-        out.withColumn(f"{p}n_words", F.size(f"{p}words").cast("long"))
-        .withColumn(f"{p}word_chars", F.length(without(F.col(f"{p}text"), SPACE_CHARS)).cast("long"))
-        .withColumn(f"{p}n_symbols", count_chars(F.col(f"{p}text"), SYMBOLS).cast("long"))
-        .withColumn(f"{p}n_dup_lines", (F.size(f"{p}lines") - F.size(f"{p}distinct")).cast("long"))
-        .withColumn(f"{p}n_repeat_words", covered(F.col(f"{p}grams")))
+        out.withColumn(f"{p}n_words", F.size(f"{own}words").cast("long"))
+        .withColumn(f"{p}word_chars", F.length(without(F.col(f"{own}text"), SPACE_CHARS)).cast("long"))
+        .withColumn(f"{p}n_symbols", count_chars(F.col(f"{own}text"), SYMBOLS).cast("long"))
+        .withColumn(f"{p}n_dup_lines", (F.size(f"{own}lines") - F.size(f"{own}distinct")).cast("long"))
+        .withColumn(f"{p}n_repeat_words", covered(F.col(f"{own}grams")))
         .withColumn(f"{p}kept_chars", F.length(without(F.col(f"{p}clean_text"), SPACE_CHARS)).cast("long"))
         .withColumn(f"{p}base_failed", (F.col(f"{p}n_words") < MIN_WORDS) | (100 * F.col(f"{p}n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{p}n_words")))
         .withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (100 * F.col(f"{p}kept_chars") >= MIN_KEPT_PERCENT * F.col(f"{p}word_chars")))
-        .drop(f"{p}text", f"{p}holds", f"{p}words", f"{p}lines", f"{p}distinct", f"{p}grams", f"{p}kept_lines")
+        .drop(f"{own}text", f"{own}holds", f"{own}words", f"{own}lines", f"{own}distinct", f"{own}grams", f"{own}kept_lines")
     )
 
 
