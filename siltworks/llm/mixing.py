@@ -7,9 +7,10 @@ that mark a domain are sought in a bounded sample of them (``MARKER_ROWS`` a
 domain, those of least hash); how many a text holds is a feature.  Then
 projected-gradient least squares fits a rate >= 0 for each document so that the
 expected tokens of the domains, rate * tokens * posterior, come to ``targets`` of
-all tokens; if they can't, a warning says so.  A step needs one sum for each domain over the table; the gradient of
-a document's rate, in the metric of its tokens, is its posteriors times the
-residuals, so no step shuffles rows.
+all tokens; if they can't, a warning says so.  The gradient of a document's rate, in the
+metric of its tokens, is its posteriors times the residuals.  All features are bins, so
+documents of equal posteriors are summed up to one row first, and a step is one sum for
+each domain over those rows.
 
 Defined cases: null text has no tokens, and its rate moves with its posteriors but
 weighs nothing; null source or language is a value of its own; documents without a
@@ -53,9 +54,12 @@ def marked_words(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), "[\\x20\\x09-\\x0D.,;:!?]+"))
 
 
-def markers(docs: DataFrame, named: DataFrame, domains: list[str]) -> list[list[str]]:
-    """Words far more frequent in documents of each domain than in others of the sample."""
-    parts = [named.filter(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MARKER_ROWS) for d in domains]
+def markers(docs: DataFrame, named: DataFrame, domains: list[str], rows_each: int = MARKER_ROWS, words_each: int = MARKERS) -> list[list[str]]:
+    """Words far more frequent in documents of each domain than in others of the sample, those that tell most of its rows apart first.
+
+    They are what the classifier fits on the sample; every document is then scored by all of them.
+    """
+    parts = [named.filter(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_each) for d in domains]
     sample = reduce(DataFrame.unionAll, parts)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("domain", F.explode(marked_words(F.col("text"))).alias("word"))
     each = cut(rows.groupBy("word").agg(*[F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains)]))
@@ -64,7 +68,7 @@ def markers(docs: DataFrame, named: DataFrame, domains: list[str]) -> list[list[
     for k in range(len(domains)):
         mine, rest = F.col(f"n{k}"), sum((F.col(f"n{i}") for i in range(len(domains)) if i != k), F.lit(0))
         odds = F.log((mine + 0.5) / (sizes[k] + 1)) - F.log((rest + 0.5) / (sum(sizes) - sizes[k] + 1))
-        best = each.filter((mine >= 3) & (odds > 1) & (F.length("word") > 1)).orderBy((odds * mine).desc(), "word").limit(MARKERS)
+        best = each.filter((mine >= 3) & (odds > 1) & (F.length("word") > 1)).orderBy((odds * mine).desc(), "word").limit(words_each)
         out.append([r["word"] for r in best.select("word").collect()])
     return out
 
@@ -120,11 +124,17 @@ def fit_rates(soft: DataFrame, targets: list[float], steps: int = STEPS, toleran
     or until rates stand still at a larger one, that is, targets can't be met; then ``steps``
     steps on plain squares are taken from 1, and a warning names the misses.  Momentum starts anew after ``steps`` steps at the latest.
     """
-    n = len(targets)
+    n, each = len(targets), soft
+    # Documents of equal posteriors have equal gradients, so each lot of them is one row of the fit.
+    soft = cut(soft.groupBy("p").agg(F.sum("tokens").alias("tokens")))
     p = lambda k: F.get("p", F.lit(k))
     total = soft.agg(F.sum("tokens").alias("t"), *[F.sum(F.col("tokens") * p(k)).alias(f"t{k}") for k in range(n)], *[F.sum(F.col("tokens") * p(i) * p(k)).alias(f"g{i}_{k}") for i in range(n) for k in range(n)]).first()
     if not total["t"]:
-        return soft.withColumn("rate", F.lit(1.0))
+        return each.withColumn("rate", F.lit(1.0))
+
+    def spread(rates: DataFrame) -> DataFrame:
+        return each.join(rates.select("p", F.col("at").alias("rate")), "p").select(*each.columns, "rate")
+
     gram = np.array([[total[f"g{i}_{k}"] for k in range(n)] for i in range(n)]) / total["t"]
     inverse = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
     table = soft.withColumn("rate", F.lit(1.0)).withColumn("before", F.lit(1.0)).withColumn("moved", F.lit(1.0))
@@ -136,14 +146,14 @@ def fit_rates(soft: DataFrame, targets: list[float], steps: int = STEPS, toleran
         *sums, moved = table.agg(*[F.sum(F.col("at") * F.col("tokens") * p(k)) for k in range(n)], F.sum(F.col("tokens") * F.col("moved"))).first()
         miss = np.array(sums) / total["t"] - np.array(targets)
         if np.abs(miss).max() < tolerance:
-            return table.select(*soft.columns, F.col("at").alias("rate"))
+            return spread(table)
         if not plain and moved / total["t"] < STILL**2:
             plain, end, last, run, inverse = True, step + steps, np.inf, 0, np.eye(n) / max(np.linalg.eigvalsh(gram)[-1], 1e-9)
             table = soft.withColumn("at", F.lit(1.0)).withColumn("rate", F.lit(1.0))
             miss = np.array([total[f"t{k}"] for k in range(n)]) / total["t"] - np.array(targets)
         if plain and step == end:
             warnings.warn(f"targets can't be met; misses {miss.round(6).tolist()}", stacklevel=2)
-            return table.select(*soft.columns, F.col("at").alias("rate"))
+            return spread(table)
         far = float(miss @ inverse @ miss)
         run, last = (0 if far > last or run == steps else run + 1), far
         slope = sum((p(k) * float(x) for k, x in enumerate(inverse @ miss)), F.lit(0.0))
@@ -153,11 +163,11 @@ def fit_rates(soft: DataFrame, targets: list[float], steps: int = STEPS, toleran
             table = cut(table)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, marker_rows: int = MARKER_ROWS, marker_words: int = MARKERS) -> DataFrame:
     """doc_id, tokens, p_<domain> for each, rate."""
     targets = targets or TARGETS
     domains = list(targets)
     named = named_of(labels, domains)
-    soft = cut(posteriors(cut(shapes(docs, markers(docs, named, domains))), named, domains))
+    soft = cut(posteriors(cut(shapes(docs, markers(docs, named, domains, marker_rows, marker_words))), named, domains))
     fitted = fit_rates(soft, [targets[d] for d in domains])
     return fitted.select("doc_id", F.col("tokens").cast("long").alias("tokens"), *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)], "rate")
