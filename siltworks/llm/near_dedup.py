@@ -10,13 +10,16 @@ with the j-th of the second.  So ``2 * halves * rows`` min-hashes serve
 Texts of one shingle set are collapsed first and stand for each other.  In each
 bucket the member that shares most buckets is the hub; members are verified
 against it on full shingle sets.  Buckets that still hold several components
-are finished exactly: their families are laid out in blocks, and in each pair of
-blocks all members that share a table and are not yet linked are verified.  Only
-links leave a block.  Nothing is capped.
+are finished exactly: their members are grouped by each collection of the first kind, that is,
+half a key; a group that holds several components is laid out in blocks, and in each pair of
+blocks the members that share a table and are not yet linked are verified, in the group of
+the first collection that they share.  Only links leave a block.  Nothing is capped.
 
 Defined cases: null, empty or blank text has no shingles and is linked with
 nothing; fewer than k words are one shingle; repeated rows of one doc_id count
-as copies of each other; a table without rows gives none.
+as copies of each other, and if their texts differ, each row has its own set, all of them
+link, and one of the texts is verified; a null doc_id is no document: such rows are left out;
+other columns are ignored; a table without rows gives none.
 """
 
 from __future__ import annotations
@@ -99,7 +102,7 @@ def _verify(percent: int):
 
 
 def _block_links(percent: int):
-    """Links between the members of two blocks of a family that share a table and are of different components."""
+    """Links between the members of two blocks of a half key that share a table and are of different components."""
 
     def run(table: pa.Table) -> pa.Table:
         us, vs = [], []
@@ -109,11 +112,13 @@ def _block_links(percent: int):
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         sizes = np.array([len(s) for s in sets])
         same = table.column("block")[0].as_py() == table.column("other")[0].as_py()
+        half = table.column("half")[0].as_py()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
         if len(right):
             flat, first = np.concatenate([sets[r] for r in right]), np.concatenate([[0], np.cumsum(sizes[right])[:-1]])
             for x in left:
-                near = (a[right] == a[x]).any(axis=1) & (b[right] == b[x]).any(axis=1) & (comps[right] != comps[x])
+                # Each pair is tried in the group of the first half that it shares.
+                near = ((a[right] == a[x]).argmax(axis=1) == half) & (b[right] == b[x]).any(axis=1) & (comps[right] != comps[x])
                 near &= (100 * np.minimum(sizes[right], sizes[x]) >= percent * np.maximum(sizes[right], sizes[x])) & (ids[right] > ids[x] if same else True)
                 if not near.any():
                     continue
@@ -133,7 +138,7 @@ def _block_links(percent: int):
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     signed = cut(texts.mapInArrow(_signatures(words, halves, rows), "doc_id long, n_shingles long, f1 long, f2 long, a array<long>, b array<long>"))
     fp = ["f1", "f2", "n_shingles"]
     reps = cut(signed.filter("n_shingles > 0").groupBy(*fp).agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")))
@@ -155,16 +160,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # What the hubs left: buckets with several components.
     of = met.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("comp"))
     mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi")
-    # The pairs tried join all members of each bucket to its hub, so no bucket is split between families.
-    families = components(pairs, "x", "y")
-    unsettled = of.join(mixed, "key").select("rep", "comp").distinct().join(families.select(F.col("node").alias("rep"), F.col("label").alias("family")), "rep")
-    sizes = unsettled.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = unsettled.join(sizes, "family").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    unsettled = cut(of.join(mixed, "key").select("rep", "comp").distinct().join(reps.select("rep", "a", "b"), "rep"))
+    halves = unsettled.select("rep", "comp", F.posexplode("a").alias("half", "x"))
+    sizes = halves.groupBy("half", "x").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").drop("lo", "hi")
+    placed = halves.join(sizes, ["half", "x"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     laid = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "family", F.least("mine", "with").alias("block"), F.greatest("mine", "with").alias("other"), (F.col("mine") > F.col("with")).cast("int").alias("side"), F.col("rep").alias("id"), "comp"
+        "half", "x", F.least("mine", "with").alias("block"), F.greatest("mine", "with").alias("other"), (F.col("mine") > F.col("with")).cast("int").alias("side"), F.col("rep").alias("id"), "comp"
     )
-    full = laid.join(reps.select(F.col("rep").alias("id"), "a", "b"), "id").join(sets, "id")
-    more = cut(full.groupBy("family", "block", "other").applyInArrow(_block_links(percent), "u long, v long"))
+    full = laid.join(unsettled.select(F.col("rep").alias("id"), "a", "b"), "id").join(sets, "id")
+    more = cut(full.groupBy("half", "x", "block", "other").applyInArrow(_block_links(percent), "u long, v long"))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
