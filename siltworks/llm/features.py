@@ -10,6 +10,8 @@ import pyarrow as pa
 from siltworks.llm import textnp
 
 _U = np.uint64
+#: Bytes of text of a step; a step's n-grams take some 80 times as much.
+STEP_BYTES = 500_000
 
 
 def ngrams(batch: pa.RecordBatch, sizes: tuple[int, ...], buckets: int, word_orders: tuple[int, ...] = (1, 2), lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -18,7 +20,7 @@ def ngrams(batch: pa.RecordBatch, sizes: tuple[int, ...], buckets: int, word_ord
     Character n-grams are over code points, with white space at their ends only,
     so they hold where words begin and end.  ``buckets`` is a power of two.
     """
-    for i, j, text, at in textnp.each(batch, "text"):
+    for i, j, text, at in textnp.each(batch, "text", STEP_BYTES):
         words = textnp.Words(text, at, lower)
         found, rows = [], []
         for k in word_orders:

@@ -127,8 +127,8 @@ def shingles(h: np.ndarray, split: np.ndarray, k: int, short: bool = False) -> t
     return mix(out), word, ends
 
 
-def each(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def each(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, boundaries) of the steps of a batch."""
     text, at = rows(batch.column(column))
-    for i, j in steps(at):
+    for i, j in steps(at, most):
         yield i, j, text[at[i] : at[j]], at[i : j + 1] - at[i]
