@@ -77,6 +77,35 @@ def test_skewed_shares_meet_targets(spark, shares):
         assert got[k] * x == pytest.approx(targets[k], abs=mixing.TOLERANCE)
 
 
+def test_posteriors_equal_brute_force(spark):
+    docs, labels, domains = table(spark, SF, "documents"), table(spark, SF, "labels"), list(mixing.TARGETS)
+    named = mixing.named_of(labels, domains)
+    shaped = mixing.shapes(docs, mixing.markers(docs, named, domains)).cache()
+    rows, domain = [r.asDict() for r in shaped.collect()], {r.doc_id: domains.index(r.domain) for r in named.collect()}
+    features = [x for x in shaped.columns if x.startswith("f_")]
+    known = [r for r in rows if r["doc_id"] in domain]
+    sizes = np.bincount([domain[r["doc_id"]] for r in known], minlength=len(domains)) + 1.0
+    counts = {f: Counter((r[f], domain[r["doc_id"]]) for r in known) for f in features}
+    kinds = {f: len({r[f] for r in known}) + 1 for f in features}
+    got = {r.doc_id: r.p for r in mixing.posteriors(shaped, named, domains).collect()}
+    right = 0
+    for r in rows:
+        s = np.log(sizes / sizes.sum())
+        for f in features:
+            s = s + np.log([(counts[f][r[f], k] + 0.5) / (sizes[k] + 0.5 * kinds[f]) for k in range(len(domains))])
+        p = np.exp(s - s.max())
+        assert got[r["doc_id"]] == pytest.approx((p / p.sum()).tolist(), abs=1e-9)
+        right += r["doc_id"] in domain and int(p.argmax()) == domain[r["doc_id"]]
+    assert right > 0.8 * len(known)
+
+
+def test_labels_of_several_domains_and_clashing_columns_mix(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s"), (2, "c", None, None), (2, "c", None, None)], "doc_id long, text string, lang string, source string").select("*", *[F.lit("mine").alias(x) for x in ("f_x", "tokens", "rate", "p", "domain")])
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    got = mixing.mix(docs, labels).collect()
+    assert len(got) == 3 and all(r.rate >= 0 for r in got)
+
+
 def test_targets_that_cannot_be_met_are_reported(spark):
     soft = spark.createDataFrame([(1, 10.0, [0.5, 0.5]), (2, 30.0, [0.4, 0.6])], "doc_id long, tokens double, p array<double>")
     with pytest.warns(UserWarning, match="can't be met"):
@@ -158,6 +187,10 @@ def test_rules_of_odd_rows(spark, odd):
     assert got[1].base_failed and got[2].n_words == 0 and got[4].n_repeat_words == 30_000
     held = quality_rules.clean(odd)
     assert set(DOCS.split()[0:1]) <= set(held.columns) and held.count() == len(ODD)
+    assert quality_rules.digest(odd.limit(0)).count() == 0
+    names = ["q_text", "q_words", "q_lines", "q_n_dup", "q_kept_lines"]
+    held = quality_rules.clean(odd.select("*", *[F.lit("mine").alias(x) for x in names]))
+    assert all(held.filter(F.col(x) == "mine").count() == len(ODD) for x in names)
 
 
 def test_chat_round_trip(spark):

@@ -6,6 +6,8 @@ import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from siltworks.llm import decontaminate, near_dedup, substring_dedup
 
@@ -164,6 +166,89 @@ def test_a_line_that_also_stands_elsewhere_does_not_break_a_passage():
     assert substring_dedup.passages(same, same, width, 80)
 
 
+def test_repeated_rows_and_very_long_texts_have_passages(spark):
+    rng = random.Random(19)
+    passage = prose(rng, 70, 10**6)
+    rows = [(1, f"{prose(rng, 40, 10**6)} {passage}"), (2, f"{passage} {prose(rng, 9, 10**6)}"), (2, "short"), (2, prose(rng, 200, 10**6)), (3, f"{prose(rng, 20_000, 10**6)} {passage} {prose(rng, 20_000, 10**6)}"), (3, f"{passage} x"), (None, passage)]
+    docs = frame(spark, rows)
+    found = substring_dedup.repeated_passages(docs).collect()
+    assert {r.doc_id for r in found} == {2, 3}
+    left = substring_dedup.remove(docs, spark.createDataFrame(found)).collect()
+    assert len(left) == len(rows) and {r.text for r in left if r.doc_id == 1} == {rows[0][1]}
+    assert min(len(words_of(r.text)) for r in left if r.doc_id == 3) < 10 and max(len(words_of(r.text)) for r in left if r.doc_id == 3) > 39_000
+
+
+@pytest.mark.parametrize("hashes,votes", [(6, 2), (12, 4)])
+def test_passages_of_some_similarity_equal_brute_force(spark, hashes, votes):
+    """Pairs of documents with a passage of 60 words that differ in a share of them: those that hold one of 0.8 are found, others not."""
+    rng = random.Random(23)
+    rows, expected, n = [], {}, 0
+    for edits in (0, 0, 1, 1, 2, 2, 8, 8):
+        for _ in range(6):
+            base = prose(rng, 60, 10**6).split()
+            other = list(base)
+            for k in rng.sample(range(5, 55), edits):
+                other[k] = f"e{rng.randrange(10**6)}"
+            x, y = prose(rng, 30, 10**6).split() + base, other + prose(rng, 30, 10**6).split()
+            rows += [(n, " ".join(x)), (n + 1, " ".join(y))]
+            best = 0.0
+            for a in range(len(x) - 49):
+                for b in range(len(y) - 49):
+                    p, q = sets(" ".join(x[a : a + 50]), 5), sets(" ".join(y[b : b + 50]), 5)
+                    best = max(best, len(p & q) / len(p | q)) if len(p & q) > 20 else best
+            expected[n + 1] = best
+            n += 2
+    found = {r.doc_id for r in substring_dedup.repeated_passages(frame(spark, rows), hashes=hashes, votes=votes).collect()}
+    surely = {i for i, s in expected.items() if s >= 0.8}
+    assert len(found & surely) >= 0.9 * len(surely) and len(surely) > 20
+    assert all(expected.get(i, 0) > 0.5 for i in found)
+
+
+def test_a_hot_value_is_split_and_every_holder_is_found(spark):
+    rng = random.Random(29)
+    passage = prose(rng, 70, 10**6)
+    rows = [(i, f"{prose(rng, 10, 10**6)} {passage} {prose(rng, 10, 10**6)}") for i in range(400)]
+    docs = frame(spark, rows).repartition(7)
+    assert {r.doc_id for r in substring_dedup.repeated_passages(docs).collect()} == set(range(1, 400))
+
+
+def test_candidate_windows_are_few_and_hold_the_similar_ones(spark):
+    rng = random.Random(31)
+    items = [(i, prose(rng, 80, 10**6)) for i in range(30)]
+    near = []
+    for i, text in items:
+        for edits in (0, 1, 2):
+            w = text.split()
+            for k in rng.sample(range(80), edits):
+                w[k] = f"e{k}"
+            near.append((100 * i + edits, " ".join(w)))
+    of = lambda rows: decontaminate.indexed(decontaminate.items_of(spark.createDataFrame(rows, "item_id long, text string"), 5).withColumn("grams", decontaminate.grams(F.col("words"), 5)), decontaminate.RADIUS, decontaminate.PERCENT)
+    met = {(r.content, r.item_id) for r in decontaminate.candidates(of(near).withColumnRenamed("item_id", "content"), of(items)).collect()}
+    similar = set()
+    for c, x in near:
+        for i, y in items:
+            a, b = sets(x, 5), sets(y, 5)
+            if 100 * len(a & b) >= 80 * len(a | b):
+                similar.add((c, i))
+    assert len(met & similar) >= 0.9 * len(similar) and len(similar) >= 60
+    assert len(met) <= 2 * len(near)  # of 2,700 pairs of one size
+
+
+def test_repeated_shingles_weigh(spark):
+    row = spark.createDataFrame([([1, 1, 2, 3, 3, 3], [1, 3, 3, 4])], "x array<bigint>, y array<bigint>").select(F.size(F.array_intersect(decontaminate.weighed(F.col("x")), decontaminate.weighed(F.col("y")))).alias("n")).first()
+    assert row.n == 3
+    assert spark.createDataFrame([([],)], "x array<bigint>").select(F.size(decontaminate.weighed(F.col("x"))).alias("n")).first().n == 0
+
+
+def test_repeated_documents_items_and_ties_of_windows(spark):
+    rng = random.Random(37)
+    item = prose(rng, 30, 10**6)
+    rows = [(1, f"{item} {prose(rng, 40, 10**6)} {item}"), (1, f"{item} {prose(rng, 40, 10**6)} {item}"), (2, f"{prose(rng, 50_000, 10**6)} {item}"), (3, None), (None, "x")]
+    bench = spark.createDataFrame([(5, item), (5, item), (6, item.upper()), (7, None)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start) for r in decontaminate.contaminated(frame(spark, rows), bench).collect())
+    assert got == [(1, 5, 0), (1, 6, 0), (2, 5, 50_000), (2, 6, 50_000)]
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(11)
     items = [(i, prose(rng, n, 10**6)) for i, n in enumerate([3, 12, 20, 40, 80])] + [(9, None), (10, " ")]
