@@ -41,11 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; n_chars follows; documents of which nothing is left go."""
-    blank = lambda text: F.trim(F.translate(text, "\t\n\x0b\f\r", "     ")) == ""
-    spans = cut(substring_dedup.repeated_passages(docs))
-    left = substring_dedup.remove(docs, spans)
-    emptied = _only(left, spans).filter(blank(F.col("text"))).select("doc_id")
-    out = _only(left, emptied, "left_anti")
+    out = substring_dedup.remove(docs, substring_dedup.repeated_passages(docs), drop_emptied=True)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else out
 
 
