@@ -176,7 +176,8 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, bu
     for k in range(order):
         bucket = placed.groupBy("bucket")
         sent = (bucket if answers is None else bucket.cogroup(answers.groupBy("bucket"))).applyInArrow(_ask(k, parts), BLOCK_DDL)
-        totals = sent.groupBy("part").applyInArrow(_add_up, ANSWER_DDL)
+        # Each order's answers are dealt by bucket once, like the texts, and read by all later orders.
+        totals = sent.groupBy("part").applyInArrow(_add_up, ANSWER_DDL).repartition(buckets, "bucket")
         answers = totals if answers is None else answers.unionAll(totals)
     scored = placed.groupBy("bucket").cogroup(answers.groupBy("bucket"))
     return scored.applyInArrow(_score(order, alpha, whole["words"] or 0), "doc_id long, n_words long, log_score double, mean_log_score double")
