@@ -1,4 +1,4 @@
 """Registered queries of the engine's own operators."""
 
-from siltworks.queries import cleaning, graphs, records, retrieval, scoring, structured, windowed  # noqa: F401
+from siltworks.queries import blocks, cleaning, graphs, records, retrieval, scoring, structured, windowed  # noqa: F401
 from siltworks.registry import ORACLES, QUERIES  # noqa: F401
