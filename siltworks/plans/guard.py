@@ -30,6 +30,8 @@ class Profile:
     contains: frozenset[str] = frozenset()
     default_order: tuple[tuple[str, str], ...] = ()
     tag_types: frozenset[str] = frozenset()
+    #: The column of rows that tags point to.
+    tag_target: str | None = None
 
 
 @dataclass(frozen=True)
@@ -68,9 +70,20 @@ def rounded(metric: Column) -> Column:
     return F.round(F.coalesce(metric.cast("double"), F.lit(0.0)), 2)
 
 
-def run(plan: Plan, profile: Profile, rows: DataFrame) -> DataFrame:
-    """Filtered rows, or groups by the first key with the first metric and the number of rows."""
+def tagged(plan: Plan, profile: Profile, rows: DataFrame, index: DataFrame | None) -> DataFrame:
+    """Rows whose target has, of each tag type that the plan names, any of the values; ``index``: (tag_type, tag_value, target_id)."""
+    for kind, values in plan.tags.items():
+        if index is None or profile.tag_target is None:
+            raise PlanError(f"{profile.key} has no index of tags")
+        chosen = index.filter((F.col("tag_type") == kind) & F.col("tag_value").isin(list(values))).select(F.col("target_id").alias("_tagged_id")).distinct()
+        rows = rows.join(chosen, rows[profile.tag_target] == chosen["_tagged_id"], "left_semi")
+    return rows
+
+
+def run(plan: Plan, profile: Profile, rows: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Filtered rows, or groups by the first key with the first metric and the number of rows; tags are looked up in ``index``."""
     check(plan, profile)
+    rows = tagged(plan, profile, rows, index)
     for name, condition in plan.filters.items():
         rows = rows.filter(matches(F.col(profile.columns[name]), condition, name in profile.contains))
     order = plan.order_by or profile.default_order

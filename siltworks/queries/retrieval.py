@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.functions import fold
+from siltworks.functions import clean, fold, titles
 from siltworks.operators import selection, tags, vectors
 from siltworks.operators.predicates import any_case_contains
 from siltworks.plans.guard import Plan, Profile, run
@@ -22,6 +22,8 @@ DISTRIBUTION = Profile(
     group_by=frozenset({"year", "province", "major"}),
     contains=frozenset({"major", "task"}),
     default_order=(("line", "asc"), ("count", "asc"), ("task", "asc"), ("province", "asc")),
+    tag_types=frozenset({"brand", "type"}),
+    tag_target="l_partkey",
 )
 LINES = """FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey"""
 
@@ -320,3 +322,116 @@ def r11_13_graph_gate(spark: SparkSession, d: str) -> DataFrame:
     m = lambda n: F.col("event_id") % n
     warnings, blockers = graph_gate(m(8), m(3), m(2), m(11) / 10, m(7) / 20, m(5) / 10, m(4) / 2)
     return table(spark, d, "events").select("event_id", F.array_join(warnings, ",").alias("warnings"), (F.size(blockers) > 0).alias("blocked"))
+
+
+@query(f"""SELECT year(l_shipdate) AS year, round(sum(l_quantity::DECIMAL(18,2))::DOUBLE, 2) AS metric_value, count(*) AS record_count {LINES}
+WHERE p_brand IN ('Brand#13', 'Brand#5') AND p_type = 'ECONOMY' GROUP BY 1 ORDER BY 1 LIMIT 50""")
+def r2_06_tagged_plan(spark: SparkSession, d: str) -> DataFrame:
+    plan = Plan(tags={"brand": ["Brand#13", "Brand#5"], "type": ["ECONOMY"]}, group_by=("year",), metrics=("sum:count",))
+    return run(plan, DISTRIBUTION, lines(spark, d), tag_index(spark, d).select("tag_type", "tag_value", "target_id"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_name ILIKE '%large%' OR p_name ILIKE '%big%' OR p_name ILIKE '%bolt%' OR p_name ILIKE '%screw%'")
+def r2_16_expanded_keywords(spark: SparkSession, d: str) -> DataFrame:
+    from siltworks.operators.predicates import any_column_contains
+
+    terms = selection.expand_terms(["large", "bolt", "large"], {"large": ["big"], "bolt": ["screw", "bolt"]})
+    return table(spark, d, "part").filter(any_column_contains([F.col("p_name")], terms)).select("p_partkey")
+
+
+TITLES = ["一、拍摄设备", "设备", "拍摄的相关设备", None, "常见拍摄设备介绍", "第三章 摄影", "拍摄设备", "拍摄设计设备"]
+
+
+@query(in_turn(("score", [10004, 0, 9004, 0, 10004, 0, 10004, 3])))
+def r8_25_title_score(spark: SparkSession, d: str) -> DataFrame:
+    return cells(spark, d, TITLES).select("event_id", titles.title_score(titles.query_key(F.lit("拍摄设备？")), F.col("cell")).cast("int").alias("score"))
+
+
+@query("SELECT event_id, ([1.0, 0.24, 0.0, 0.0, 0.0, 0.24, 0.0]::DOUBLE[])[event_id % 7 + 1] AS score FROM events")
+def r8_26_section_relevance(spark: SparkSession, d: str) -> DataFrame:
+    rows = cells(spark, d, ["一、拍摄设备", "设备维护", "备", "概述", None, "清单的常见用途", "摄影"])
+    return rows.select("event_id", F.round(titles.section_relevance(F.lit("拍摄设备清单"), F.col("cell")), 6).alias("score"))
+
+
+ASKED = ["Q: What is it?\nA: It is an answer.\nQ: And more?\nA: More of the same.", "问：什么是拍摄设备\n答：就是用来拍摄的各种设备", "Question 1: Which one?\nAnswer 1: The second of them.", "Q: x\nA: short", None, "plain text"]
+
+
+@query("SELECT event_id, ([2, 1, 1, 0, 0, 0])[event_id % 6 + 1] AS n, (['What is it?', '什么是拍摄设备', 'Which one?', NULL, NULL, NULL])[event_id % 6 + 1] AS question, (['More of the same.', '就是用来拍摄的各种设备', 'The second of them.', NULL, NULL, NULL])[event_id % 6 + 1] AS answer FROM events")
+def r10_21_pairs_by_pattern(spark: SparkSession, d: str) -> DataFrame:
+    rows = cells(spark, d, ASKED).select("event_id", titles.qa_pairs(F.col("cell")).alias("p"))
+    return rows.select("event_id", F.size("p").alias("n"), F.get("p", F.lit(0))["question"].alias("question"), F.get("p", F.size("p") - 1)["answer"].alias("answer"))
+
+
+@query("""SELECT doc_id, sha256(regexp_replace(text, '(?i)(sk-[A-Za-z0-9_-]{20,}|ragflow-[A-Za-z0-9_-]{20,}|Bearer\\s+[A-Za-z0-9._\\-]{16,})', '***redacted***', 'g')) AS text FROM documents""")
+def r9_21_scrubbed_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.sha2(clean.scrub_secrets(F.col("text")), 256).alias("text"))
+
+
+@query("SELECT event_id, sha256((['abc-12', 'fine', '', 'iv级', 'plain', 'アイウ'])[event_id % 6 + 1] || '|' || lower(trim(event_type))) AS fp FROM events")
+def r9_02_folded_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    rows = cells(spark, d, FOLDS).join(table(spark, d, "events").select("event_id", "event_type"), "event_id")
+    return rows.select("event_id", clean.fingerprint(fold.folded(F.col("cell")), F.col("event_type")).alias("fp"))
+
+
+@query(in_turn(("field", ["salary", "title", None, None, None, "title"])))
+def r9_37_alias_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Headers by what they are called once folded."""
+    names = fold.lookup({"薪资(元)": "salary", "job": "title"})
+    return cells(spark, d, ["薪资（元） ", "ＪＯＢ", "jobs", None, "", " Job"]).select("event_id", F.try_element_at(names, fold.folded(F.col("cell"))).alias("field"))
+
+
+def merged_fragments(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
+    """(key, text, n): texts of a key joined in order; rows with a null or blank key pass as they are."""
+    keyed = rows.filter(F.trim(key) != "").groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]), ";").alias(text), F.count("*").alias("n"))
+    return keyed.unionByName(rows.filter(F.col(key).isNull() | (F.trim(key) == "")).select(key, text, F.lit(1).cast("long").alias("n")))
+
+
+@query("""WITH x AS (SELECT nullif(p_brand, 'Brand#5') AS k, p_name AS t, p_partkey AS o FROM part) SELECT k, string_agg(t, ';' ORDER BY o) AS t, count(*) AS n FROM x WHERE k IS NOT NULL GROUP BY k UNION ALL SELECT k, t, 1 FROM x WHERE k IS NULL""")
+def r15_15_fragments_and_rest(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select(F.nullif("p_brand", F.lit("Brand#5")).alias("k"), F.col("p_name").alias("t"), F.col("p_partkey").alias("o"))
+    return merged_fragments(rows, "k", "t", "o")
+
+
+def candidate_chunks(chunks: DataFrame, kinds: list[str], least: int) -> DataFrame:
+    """Adds ``skipped``: why a chunk (chunk_type, content) is no candidate, null for candidates."""
+    why = F.when(~F.col("chunk_type").isin(kinds) | F.col("chunk_type").isNull(), "unsupported_type").when(F.trim(F.coalesce("content", F.lit(""))) == "", "empty_content").when(F.length(F.trim("content")) < least, "too_short")
+    return chunks.withColumn("skipped", why)
+
+
+@query("""SELECT CASE WHEN source IS NULL OR source NOT IN (SELECT DISTINCT source FROM documents ORDER BY source LIMIT 2) THEN 'unsupported_type' WHEN trim(coalesce(text, '')) = '' THEN 'empty_content' WHEN length(trim(text)) < 200 THEN 'too_short' END AS skipped, count(*) AS n FROM documents GROUP BY 1""")
+def r11_08_skip_reasons(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("source").alias("chunk_type"), F.col("text").alias("content"))
+    kinds = [r["chunk_type"] for r in docs.select("chunk_type").filter("chunk_type is not null").distinct().orderBy("chunk_type").limit(2).collect()]
+    return candidate_chunks(docs, kinds, 200).groupBy("skipped").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_custkey AS major, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS graph FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_name ILIKE '%1%' GROUP BY 1""")
+def r11_06_latest_graphs(spark: SparkSession, d: str) -> DataFrame:
+    from siltworks.operators.windows import latest
+
+    rows = table(spark, d, "orders").join(table(spark, d, "customer").filter(any_case_contains(F.col("c_name"), "1")), F.col("o_custkey") == F.col("c_custkey"))
+    return latest(rows.select(F.col("o_custkey").alias("major"), "o_orderkey", "o_orderdate"), "major", "o_orderdate", "o_orderkey").select("major", F.col("o_orderkey").alias("graph"))
+
+
+@query("""SELECT n_nationkey AS dataset, 'n' || n_nationkey || '>s' || s_suppkey AS edge FROM nation JOIN supplier ON s_nationkey = n_nationkey UNION SELECT n_nationkey, 'n' || n_nationkey || '>c' || c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey""")
+def r11_02_ability_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Edges from a dataset to what belongs to it, of two kinds, each once."""
+    edge = lambda kind, key: F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(f">{kind}"), F.col(key).cast("string")).alias("edge")
+    nation = table(spark, d, "nation").select("n_nationkey")
+    s = nation.join(table(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("n_nationkey").alias("dataset"), edge("s", "s_suppkey"))
+    c = nation.join(table(spark, d, "customer"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("n_nationkey").alias("dataset"), edge("c", "c_custkey"))
+    return s.unionByName(c).distinct()
+
+
+def first_scope(scopes: list[DataFrame]) -> DataFrame:
+    """The first of the scopes that has rows, else the last: a request is widened only while it finds nothing."""
+    for rows in scopes[:-1]:
+        if not rows.isEmpty():
+            return rows
+    return scopes[-1]
+
+
+@query("SELECT vec_id FROM embeddings WHERE label = 1")
+def r8_29_scope_fallback(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    return first_scope([rows.filter("label = -5"), rows.filter("label = 1"), rows]).select("vec_id")
