@@ -20,7 +20,7 @@ PUBLICATION = [
     "策划编辑", "责任绘图", "责任编辑", "责任校对", "封面设计", "版式设计", "出版发行", "出版社", "社址", "邮政编码", "印刷", "开本", "印张", "字数", "咨询电话", "网址",
     "网上订购", "版权所有", "物料号", "WBS要素", "正式出版前", "缺页", "倒页", "脱页", "质量问题", "第1版", "第 1 版", "印次", "反盗版", "举报电话", "举报邮箱", "通信地址", "知识产权与法律事务部",
 ]
-NOT_PUBLICATION = "学习目标|任务描述|任务实施|知识准备|知识链接|实践训练|案例|技能点|操作步骤|[项任][目务][一二三四五六七八九十0-9]"
+NOT_PUBLICATION = "学习目标|任务描述|任务实施|知识准备|知识链接|实践训练|案例|技能点|操作步骤|项目[一二三四五六七八九十0-9]|任务[一二三四五六七八九十0-9]"
 PUBLISHER_MARK = "(?i)(http|www\\.|400-[0-9]|ISBN|WBS要素|版权所有)"
 
 
