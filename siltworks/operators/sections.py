@@ -46,3 +46,50 @@ def upsert(held: DataFrame, new: DataFrame, keys: list[str], order: str) -> Data
     rest = [c for c in held.columns if c not in keys]
     last = new.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("order_"), F.struct(*rest).alias("kept"))).alias("row")).select(*keys, "row.kept.*")
     return held.join(last.select(*keys), keys, "left_anti").unionByName(last)
+
+
+# Types of nodes whose place must be known.
+PLACED = ["task", "task_section", "operation_step", "task_artifact", "assessment"]
+
+
+def outline_quality(outlines: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """Counts, ratios and ``review_required`` of each of ``outlines`` (key, blocks, assigned).
+
+    ``nodes``: key, node_type, parent, seq, step_no, locator.  An outline without nodes has
+    no located share and so needs a review; without artifacts or numbered steps, theirs are 1.
+    Steps of a parent that keep their order are found with a lag, so no list is gathered.
+    """
+    steps = nodes.filter("node_type = 'operation_step' and step_no is not null")
+    before = F.lag("step_no").over(Window.partitionBy(key, "parent").orderBy("seq"))
+    ordered = steps.select(key, "parent", (F.coalesce(before, F.col("step_no")) <= F.col("step_no")).alias("fine")).groupBy(key, "parent").agg(F.bool_and("fine").alias("fine"))
+    valid = ordered.groupBy(key).agg(F.round(F.avg(F.col("fine").cast("int")), 4).alias("step_order_validity"))
+    kind = F.col("node_type")
+    high, artifact = kind.isin(PLACED), kind == "task_artifact"
+    of = {
+        "project_count": kind == "project",
+        "task_count": kind == "task",
+        "section_count": kind == "task_section",
+        "operation_step_count": kind == "operation_step",
+        "artifact_count": artifact,
+        "high": high,
+        "located": high & F.col("locator").isNotNull(),
+        "projected": high & (kind != "assessment"),
+        "bound": artifact & F.col("parent").isNotNull(),
+    }
+    counts = nodes.groupBy(key).agg(*[F.count_if(c).alias(n) for n, c in of.items()])
+    x = outlines.join(counts, key, "left").join(valid, key, "left").fillna(0, list(of)).fillna(1.0, ["step_order_validity"])
+    ratio = lambda n, d, empty: F.when(d > 0, n / d).otherwise(empty)
+    located, projected = ratio(F.col("located"), F.col("high"), 0.0), F.when(F.col("projected") > 0, 1.0).otherwise(0.0)
+    bound, orphans = ratio(F.col("bound"), F.col("artifact_count"), 1.0), 1.0 - ratio(F.col("assigned"), F.col("blocks"), 0.0)
+    return x.select(
+        key,
+        *list(of)[:5],
+        F.when(F.col("task_count") > 0, 1.0).otherwise(0.0).alias("task_coverage"),
+        F.round(F.col("section_count") / F.greatest("task_count", F.lit(1)), 4).alias("section_coverage"),
+        "step_order_validity",
+        F.round(bound, 4).alias("artifact_binding_rate"),
+        F.round(located, 4).alias("locator_coverage"),
+        projected.alias("chunk_projection_coverage"),
+        F.round(F.greatest(orphans, F.lit(0.0)), 4).alias("orphan_block_ratio"),
+        ((located < 0.95) | (projected < 0.9) | (bound < 0.7)).alias("review_required"),
+    )
