@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import chat_format, decontaminate, language_id, lm_score, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_counts
+from siltworks.llm import chat_format, decontaminate, language_id, lm_score, mixing, near_dedup, periodic_runs, quality_classifier, quality_rules, substring_dedup, token_counts
 from siltworks.llm.common import table
-from siltworks.llm.sql import OP1_SQL, OP2_SQL, OP3_SQL, OP5_SQL, OP10_SQL
+from siltworks.llm.sql import OP1_SQL, OP2_SQL, OP3_SQL, OP5_SQL, OP10_SQL, OP11_SQL
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(turns.unionByName(probe)))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op1_near_dedup": OP1_SQL,
@@ -79,4 +84,5 @@ ORACLES: dict[str, str] = {
     "op3_lm_score": OP3_SQL,
     "op5_quality_rules": OP5_SQL,
     "op10_chat_format": OP10_SQL,
+    "op11_periodic_runs": OP11_SQL,
 }

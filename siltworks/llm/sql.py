@@ -115,3 +115,25 @@ SELECT conv_id, count(*) AS n_turns,
        sum(length(safe) + CASE WHEN opens THEN length('<|im_start|>' || safe_role || chr(10) || '<|im_end|>' || chr(10)) ELSE length('<|im_sep|>') END)::BIGINT AS formatted_chars
 FROM s GROUP BY conv_id
 """
+
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda s, b: xor(xor(s, b) >> 1, 3988292384 * (xor(s, b) & 1))), 4294967295) AS h
+  FROM documents),
+e AS (SELECT doc_id, w, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+f AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) END AS w FROM e),
+t AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM f),
+p AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM t x JOIN t y ON y.doc_id = x.doc_id AND y.word = x.word AND y.i > x.i),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM p),
+r AS (SELECT doc_id, min(i) AS a, count(*) + q AS length, q FROM s GROUP BY doc_id, q, island HAVING count(*) >= q AND count(*) + q >= 12),
+m AS (SELECT doc_id, a, length, min(q) AS q FROM r GROUP BY ALL),
+k AS (SELECT doc_id, i, word FROM t WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = t.doc_id AND t.i >= m.a + m.q AND t.i < m.a + m.length)),
+c AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM k GROUP BY doc_id),
+b AS (SELECT doc_id, count(*) AS n_runs, first({'a': a, 'length': length, 'q': q} ORDER BY length DESC, a, q) AS best,
+  string_agg(a || ',' || length || ',' || q || chr(10), '' ORDER BY a, q) AS lines FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.a::BIGINT AS start, best.length::BIGINT AS length, best.q::BIGINT AS period,
+  (1000 * best.length // best.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
