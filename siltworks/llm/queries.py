@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import chat_format, decontaminate, language_id, lm_score, mixing, near_dedup, periodic_runs, quality_classifier, quality_rules, substring_dedup, token_counts
+from siltworks.llm import chat_format, decontaminate, language_id, lm_score, mixing, near_dedup, periodic_runs, prefix_trie, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts
 from siltworks.llm.common import table
-from siltworks.llm.sql import OP1_SQL, OP2_SQL, OP3_SQL, OP5_SQL, OP10_SQL, OP11_SQL
+from siltworks.llm.sql import OP1_SQL, OP2_SQL, OP3_SQL, OP5_SQL, OP10_SQL, OP11_SQL, OP12_SQL
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = prefix_trie.turn_keys(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(keyed), keyed.select("conv_id").distinct())
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -77,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_near_dedup": OP1_SQL,
@@ -85,4 +96,5 @@ ORACLES: dict[str, str] = {
     "op5_quality_rules": OP5_SQL,
     "op10_chat_format": OP10_SQL,
     "op11_periodic_runs": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }

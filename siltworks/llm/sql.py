@@ -116,11 +116,16 @@ SELECT conv_id, count(*) AS n_turns,
 FROM s GROUP BY conv_id
 """
 
+def _crc32(x: str) -> str:
+    """Unsigned CRC-32 of the decimal digits of an integer."""
+    bits = f"flatten(list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda s, b: xor(xor(s, b) >> 1, 3988292384 * (xor(s, b) & 1))), 4294967295)"
+
+
 OP11_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-    xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
-      lambda s, b: xor(xor(s, b) >> 1, 3988292384 * (xor(s, b) & 1))), 4294967295) AS h
+    {crc32} AS h
   FROM documents),
 e AS (SELECT doc_id, w, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
 f AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) END AS w FROM e),
@@ -136,4 +141,30 @@ b AS (SELECT doc_id, count(*) AS n_runs, first({'a': a, 'length': length, 'q': q
 SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.a::BIGINT AS start, best.length::BIGINT AS length, best.q::BIGINT AS period,
   (1000 * best.length // best.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+""".replace("{crc32}", _crc32("doc_id"))
+
+OP12_SQL = rf"""
+WITH k AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS n FROM k),
+c AS (SELECT DISTINCT conv_id, {_crc32("conv_id")} % 4 AS h FROM t),
+r AS (
+  SELECT c.conv_id, 0 AS part, n, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND n <= h
+  UNION ALL SELECT c.conv_id, 1, n, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND n > h),
+o AS (SELECT conv_id, text, row_number() OVER w AS depth, list([role, text]) OVER w AS path FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, n)),
+m AS (SELECT conv_id, depth, path, text FROM o UNION ALL SELECT conv_id, 0, [], '' FROM c),
+e AS (SELECT conv_id, max(depth) AS len FROM m GROUP BY conv_id),
+v AS (
+  SELECT path, depth, min(m.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS saved,
+    sha256(coalesce(string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) FILTER (len = depth), '')) AS ends_sha256
+  FROM m JOIN e ON e.conv_id = m.conv_id GROUP BY path, depth),
+a AS (SELECT m.conv_id AS c, m.depth, v.conv_id FROM m JOIN v ON v.path = m.path AND v.depth = m.depth),
+p AS (SELECT v.*, a.conv_id AS parent_conv_id FROM v LEFT JOIN a ON a.c = v.conv_id AND a.depth = v.depth - 1),
+n AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM p WHERE depth > 0 GROUP BY ALL),
+f AS (SELECT p.*, coalesce(n_children, 0) AS n_children FROM p LEFT JOIN n ON n.conv_id = p.conv_id AND n.depth = p.depth),
+s AS (
+  SELECT a.conv_id, a.depth, sum(saved) AS saved, count(*) FILTER (n_children = 0) AS leaves
+  FROM f JOIN a ON a.c = f.conv_id AND a.depth <= f.depth GROUP BY ALL)
+SELECT f.conv_id, f.depth::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children,
+  leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, ends_sha256
+FROM f JOIN s ON s.conv_id = f.conv_id AND s.depth = f.depth
 """
