@@ -1,4 +1,4 @@
 """Registered queries of the engine's own operators."""
 
-from siltworks.queries import blocks, cleaning, governance, graphs, records, retrieval, scoring, sections, structured, windowed  # noqa: F401
+from siltworks.queries import blocks, cleaning, governance, graphs, pages, records, retrieval, scoring, sections, structured, windowed  # noqa: F401
 from siltworks.registry import ORACLES, QUERIES  # noqa: F401
