@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from siltworks.operators.ordered import ranked
 
 RRF_K = 60
 
@@ -18,8 +19,8 @@ def combine(hits: DataFrame, how: str, buckets: list[str], weights: dict[str, fl
     """
     best = hits.filter(F.col("bucket").isin(buckets)).groupBy("bucket", "id").agg(F.max("score").alias("score"))
     if how == "RRF":
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("score").desc(), "id"))
-        best = best.withColumn("score", 1 / (RRF_K + rank))
+        # A bucket may hold most of the hits, so no window is laid over it.
+        best = ranked(best, ["bucket"], [F.col("score").desc(), F.col("id")], "place").select("bucket", "id", (1 / (RRF_K + F.col("place"))).alias("score"))
     if how == "LINEAR" and weights:
         pairs = F.create_map(*[F.lit(x) for k in weights.items() for x in k])
         best = best.withColumn("score", F.col("score") * F.coalesce(F.try_element_at(pairs, F.col("bucket")), F.lit(1.0)))

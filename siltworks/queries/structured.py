@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltworks.operators.predicates import any_case_contains, any_column_contains, matches, named_in, year_or_all
+from siltworks.operators.ordered import percentiles
 from siltworks.operators.windows import first_by
 from siltworks.plans.guard import Plan, Profile, run
 from siltworks.registry import query
@@ -198,8 +199,8 @@ def r4_21_facets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT lang, round(quantile_cont(n_chars, 0.5))::BIGINT AS p50, round(quantile_cont(n_chars, 0.95))::BIGINT AS p95 FROM documents GROUP BY 1")
 def r4_22_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    at = lambda p: F.round(F.percentile("n_chars", p)).cast("long")
-    return table(spark, d, "documents").groupBy("lang").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    found = percentiles(table(spark, d, "documents").select("lang", "n_chars"), ["lang"], "n_chars", {"p50": 0.5, "p95": 0.95})
+    return found.select("lang", *[F.round(p).cast("long").alias(p) for p in ("p50", "p95")])
 
 
 @query("""WITH x AS (SELECT source, doc_id, text IS NOT NULL AND text LIKE '%.%' AS whole FROM documents)
