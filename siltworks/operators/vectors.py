@@ -25,7 +25,7 @@ def cosine(x: Column, y: Column) -> Column:
     return F.when(fits & (norm(x) > 0) & (norm(y) > 0), dot(x, y) / (norm(x) * norm(y))).otherwise(0.0)
 
 
-#: Probes that one vector is scored with at once, about, and parts that the vectors are dealt into for each such block.
+#: Probes that one vector is scored with at once, about, and parts that the vectors are dealt into, if the session has no more partitions.
 BLOCK, PARTS = 64, 64
 
 
@@ -33,9 +33,10 @@ def search(vectors: DataFrame, queries: DataFrame, threshold: float, k: int, id:
     """(query, id, score): the ``k`` best of each query at or above ``threshold``, ties by id.
 
     Up to ``BLOCK`` queries (a request's expansions) are gathered into one literal row
-    and every vector is scanned once.  More are dealt into blocks by hash, and each part
-    of the vectors is joined with each block; then no probe is broadcast.  Candidates are
-    cut to ``k`` a query in each task before the shuffle.
+    and every vector is scanned once.  More are dealt into blocks by hash, and the blocks are
+    copied to every part of the vectors; a vector is sent once, to its part, and meets all
+    blocks there, so the rows sent grow with the vectors and, times the parts, with the
+    blocks.  Candidates are cut to ``k`` a query in each task before the shuffle.
     """
     probe = F.struct("query", doubles(F.col("probe")).alias("probe"))
     scored = vectors.select(F.col(id).alias("id"), doubles(F.col(vector)).alias("v"))
@@ -44,9 +45,10 @@ def search(vectors: DataFrame, queries: DataFrame, threshold: float, k: int, id:
         met = scored.join(F.broadcast(queries.agg(F.collect_list(probe).alias("probes"))))
     else:
         dealt = queries.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).agg(F.collect_list(probe).alias("probes"))
-        dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        placed = scored.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        met = placed.join(dealt.hint("shuffle_merge"), ["block", "part"])
+        parts = max(PARTS, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        dealt = dealt.select("probes", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        placed = scored.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+        met = placed.join(dealt.hint("shuffle_merge"), "part")
     each = met.select("id", "v", F.explode("probes").alias("p")).select(F.col("p.query").alias("query"), "id", cosine(F.col("v"), F.col("p.probe")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "id"))
     return each.filter(F.col("score") >= threshold).withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "id", "score")
