@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltworks.llm import chat_format, decontaminate, language_id, lm_score, mixing, near_dedup, periodic_runs, prefix_trie, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts
 from siltworks.llm.common import table
-from siltworks.llm.sql import OP1_SQL, OP2_SQL, OP3_SQL, OP5_SQL, OP10_SQL, OP11_SQL, OP12_SQL
+from siltworks.llm.sql import OP1_SQL, OP2_SQL, OP3_SQL, OP5_SQL, OP10_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +97,5 @@ ORACLES: dict[str, str] = {
     "op10_chat_format": OP10_SQL,
     "op11_periodic_runs": OP11_SQL,
     "op12_prefix_trie": OP12_SQL,
+    "op13_suffix_dedup": OP13_SQL,
 }

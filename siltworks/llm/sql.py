@@ -168,3 +168,18 @@ SELECT f.conv_id, f.depth::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n
   leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, ends_sha256
 FROM f JOIN s ON s.conv_id = f.conv_id AND s.depth = f.depth
 """
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+i AS (SELECT r, x, unnest(range(1, length(x) // 2 - 398)) AS s FROM d WHERE length(x) >= 800),
+h AS (SELECT r, s, md5_number(substring(x, 2 * s - 1, 800)) AS k FROM i),
+t AS (SELECT r, s FROM h WHERE k IN (SELECT k FROM h GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT r, s, coalesce(s > lag(s) OVER (PARTITION BY r ORDER BY s) + 400, true) AS opens FROM t),
+n AS (SELECT r, s, sum(opens::INT) OVER (PARTITION BY r ORDER BY s) AS k FROM g),
+p AS (SELECT r, min(s) AS a, max(s) + 400 AS b FROM n GROUP BY r, k),
+o AS (SELECT r, a, b, lag(b, 1, 1) OVER (PARTITION BY r ORDER BY a) AS before FROM p),
+q AS (SELECT r, count(*) AS n, sum(b - a) AS gone, max(b) AS last, list([before, a - before] ORDER BY a) AS parts FROM o GROUP BY r)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(array_to_string(list_transform(parts, lambda y: substring(x, 2 * y[1] - 1, 2 * y[2])), ''), '') || substring(x, 2 * coalesce(last, 1) - 1))) AS kept_sha256
+FROM d LEFT JOIN q ON q.r = d.r
+"""
