@@ -49,7 +49,7 @@ SHALLOW = 16
 MOST = 200
 #: Anchors sorted at a time.
 SORTED = 4000
-#: Places and spans up to which they are sent to the texts; beyond, both are shuffled.
+#: Spans up to which they are sent to the texts; beyond, both are shuffled.
 BROADCAST = 500_000
 _GRAM = 8
 _U = np.uint64
@@ -281,10 +281,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
     out = stretch(again.filter("not mixed")).unionAll(stretch(mixed.join(wholes.filter("n > 1").select("core", "whole"), ["core", "whole"])))
 
     places = wholes.select("at.id", "at.sum", F.struct("core", "whole", F.col("at.place").alias("place"), (F.col("n") == 1).alias("alone")).alias("place"))
-    per_text = cut(places.groupBy("id", "sum").agg(F.collect_list("place").alias("places")))
-    if (per_text.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST:
-        per_text = F.broadcast(per_text)
-    unions = texts.select("id", "sum", "text").join(per_text, ["id", "sum"]).mapInArrow(_cut_out(length), "core long, whole long, alone boolean, id long, sum long, place long, bytes binary")
+    per_text = places.groupBy("id", "sum").agg(F.collect_list("place").alias("places"))
+    unions = texts.select("id", "sum", "text").join(per_text.hint("shuffle_merge"), ["id", "sum"]).mapInArrow(_cut_out(length), "core long, whole long, alone boolean, id long, sum long, place long, bytes binary")
     hot = cut(wholes.groupBy("core").agg(F.count("*").alias("n")).filter(F.col("n") > MOST).select("core"))
     unions = cut(unions)
     rest = unions.join(hot, "core", "left_anti").repartition("core").sortWithinPartitions("core", "whole")
