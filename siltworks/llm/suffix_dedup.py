@@ -273,7 +273,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
     texts = _texts(docs)
     found = cut(texts.select("id", "sum", "text").mapInArrow(_find(length, window), "core long, whole long, id long, sum long, place long"))
     cores = found.groupBy("core").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).filter("n > 1")
-    again = cut(found.join(cores.select("core", (F.col("low") != F.col("high")).alias("mixed")), "core"))
+    cores = cut(cores.select("core", (F.col("low") != F.col("high")).alias("mixed")))  # else a hot core's side of the join can't be split
+    again = cut(found.join(cores, "core"))
     mixed = again.filter("mixed")
     wholes = cut(mixed.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "sum", "place")).alias("at")))
     first = F.shiftright("place", 16)
