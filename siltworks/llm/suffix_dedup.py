@@ -253,10 +253,14 @@ def _strings(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for id_, sum_, place, data in zip(*[batch.column(x).to_pylist() for x in ("id", "sum", "place", "bytes")], strict=True):
-                n = (place & 255) + 1
-                found = [xxhash.xxh3_128_digest(data[k : k + length]) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([id_] * n), pa.array([sum_] * n), pa.array((place >> 16) + np.arange(n))], names=["string", "id", "sum", "first"])
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                place = part.column("place").to_numpy()
+                size = (place & 255) + 1
+                found = [xxhash.xxh3_128_digest(data[i : i + length]) for data, n in zip(part.column("bytes").to_pylist(), size.tolist(), strict=True) for i in range(n)]
+                of = np.repeat(np.arange(len(place)), size)
+                first = (place >> 16)[of] + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *[part.column(x).take(pa.array(of)) for x in ("id", "sum")], pa.array(first)], names=["string", "id", "sum", "first"])
 
     return run
 
