@@ -26,7 +26,7 @@ Defined cases: a null text is empty; texts shorter than ``length`` keep all byte
 texts of their own, repeated rows and rows without doc_id too, so the bytes of a text of that length in two rows go in both;
 further columns are ignored; an empty table gives an empty one.  Bytes
 that are left need not be valid UTF-8, so they are binary.  A task holds the bytes of
-``textnp.STEP_BYTES`` of text, or of one longer text, at some 50 bytes each.
+``STEP`` of text, or of one longer text, at some 50 bytes each.
 """
 
 from __future__ import annotations
@@ -51,7 +51,8 @@ MOST = 200
 SORTED = 4000
 #: Spans up to which they are sent to the texts; beyond, both are shuffled.
 BROADCAST = 500_000
-_GRAM = 8
+#: Bytes of text that are worked on at a time, unless one text is longer.
+STEP = 500_000
 _U = np.uint64
 
 
@@ -88,7 +89,7 @@ def _find(length: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, signed = xxhash.xxh3_64_intdigest, lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
         for batch in batches:
-            for i, j, text, at in textnp.each(batch, "text"):
+            for i, j, text, at in textnp.each(batch, "text", STEP):
                 first, last, place = anchors(text, at, length, window)
                 row = np.searchsorted(at, first, "right") - 1
                 held, a, b, p = memoryview(text), first.tolist(), last.tolist(), place.tolist()
