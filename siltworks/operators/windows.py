@@ -1,8 +1,7 @@
-"""Latest, first-seen, winner, runs, neighbours and greedy packing."""
+"""Latest, first-seen, winner, runs and neighbours."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,31 +38,3 @@ def neighbours(df: DataFrame, keys: list[str], index: str, item: Column, reach:
     """Items whose index lies within ``reach`` of the row's, by value, in order."""
     w = Window.partitionBy(*keys).orderBy(index).rangeBetween(-reach, reach)
     return F.sort_array(F.collect_list(F.struct(F.col(index).alias("i"), item.alias("item"))).over(w))
-
-
-def pack(df: DataFrame, key: str, order: str, size: str, most: int, rows: int, overlap: int = 0) -> DataFrame:
-    """Greedy packing of each key's rows, in order, into units of at most ``most`` in size and ``rows`` rows.
-
-    Each unit but the first starts with the last ``overlap`` rows of the one before.
-    Returns (key, unit, n_rows, total, first, last).  A group's sizes, not its texts,
-    are what a task gathers.
-    """
-
-    def of(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        out, held, total = [], [], 0
-        for i, n in zip(group[order].tolist(), group[size].tolist(), strict=True):
-            if held and (total + n > most or len(held) >= rows):
-                out.append(held)
-                held = held[-overlap:] if overlap else []
-                total = sum(x[1] for x in held)
-            held = [*held, (i, n)]
-            total += n
-        if held:
-            out.append(held)
-        k = group[key].iloc[0]
-        return pd.DataFrame([(k, u, len(h), sum(x[1] for x in h), h[0][0], h[-1][0]) for u, h in enumerate(out)], columns=["k", "unit", "n_rows", "total", "first", "last"]).rename(columns={"k": key})
-
-    kind = df.schema[key].dataType.simpleString()
-    slim = df.select(key, F.col(order).cast("long").alias(order), F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias(size))
-    return slim.groupBy(key).applyInPandas(of, f"`{key}` {kind}, unit long, n_rows long, total long, first long, last long")

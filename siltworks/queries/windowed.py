@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltworks.operators import ordered
+from siltworks.operators.packing import body_units, pack
 from siltworks.operators.ranking import combine, first_wins, merge_hits
 from siltworks.operators.vectors import cosine, doubles, search
-from siltworks.operators.windows import first_by, first_seen, latest, neighbours, pack, runs
+from siltworks.operators.windows import first_by, first_seen, latest, neighbours, runs
 from siltworks.registry import query
 from siltworks.sources.readers import replace_partition, table
 
@@ -85,7 +86,20 @@ def r5_12_long_runs(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("event_type", "run").agg(F.min("event_id").alias("first_id"), F.count("*").alias("n")).filter("n >= 3").drop("run")
 
 
-@query()
+def packed_sql(rows: str, keys: str, most: int, rows_most: int, overlap: int) -> str:
+    """Common table expressions that pack ``rows`` (keys, i, n), unit by unit, in ``pu``: the keys, unit, n_rows, total, first, last."""
+    q, same = keys.split(", "), lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
+    a_keys = ", ".join(f"a.{k}" for k in q)
+    return f"""pq AS (SELECT {keys}, i, coalesce(n, 0) AS n, row_number() OVER w - 1 AS pos, sum(coalesce(n, 0)) OVER w AS upto FROM ({rows}) WINDOW w AS (PARTITION BY {keys} ORDER BY i ROWS UNBOUNDED PRECEDING)),
+pb AS (SELECT {a_keys}, a.pos, greatest(a.pos - {overlap}, 0) AS start, b.upto - b.n AS base, b.i AS first FROM pq a JOIN pq b ON {same("a", "b")} AND b.pos = greatest(a.pos - {overlap}, 0)),
+pn AS (SELECT {a_keys}, a.pos, a.start, a.base, a.first, coalesce(min(CASE WHEN b.upto - a.base > {most} OR b.pos - a.start >= {rows_most} THEN b.pos END), max(b.pos) + 1, a.pos + 1) AS nxt
+  FROM pb a LEFT JOIN pq b ON {same("a", "b")} AND b.pos > a.pos AND b.pos <= a.pos + {rows_most} GROUP BY {a_keys}, a.pos, a.start, a.base, a.first),
+pw AS (SELECT {keys}, 0::BIGINT AS unit, pos, start, base, first, nxt FROM pn WHERE pos = 0 UNION ALL
+  SELECT {a_keys}, u.unit + 1, a.pos, a.start, a.base, a.first, a.nxt FROM pw u JOIN pn a ON {same("u", "a")} AND a.pos = u.nxt),
+pu AS (SELECT {", ".join(f"u.{k}" for k in q)}, u.unit, (u.nxt - u.start)::BIGINT AS n_rows, (b.upto - u.base)::BIGINT AS total, u.first, b.i AS last FROM pw u JOIN pq b ON {same("u", "b")} AND b.pos = u.nxt - 1)"""
+
+
+@query(f"""WITH RECURSIVE {packed_sql("SELECT conv_id, turn AS i, length(text) AS n FROM conversations", "conv_id", 1500, 6, 1)} SELECT conv_id, unit, n_rows, total, first, last FROM pu""")
 def r5_13_packed_units(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
     return pack(turns, "conv_id", "turn", "size", most=1500, rows=6, overlap=1)
@@ -220,3 +234,21 @@ def r8_20_projected_tags(spark: SparkSession, d: str) -> DataFrame:
 def r8_21_replaced_partition(spark: SparkSession, d: str) -> DataFrame:
     new = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(0).alias("l_linenumber"), F.lit(1.0).alias("l_quantity"))
     return replace_partition(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), new, ["l_orderkey"])
+
+
+CHUNKS = """c0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents WHERE text IS NOT NULL),
+c1 AS (SELECT doc_id, k, length(line) AS n, k // 7 AS heading, CASE WHEN k % 11 = 5 THEN 'table_row' WHEN k % 11 = 9 THEN 'image' ELSE 'body' END AS role FROM c0 WHERE k % 13 <> 8),
+c2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, heading ORDER BY k) AS x FROM c1 WHERE role = 'body'),
+c3 AS (SELECT doc_id, k AS i, n, heading * 100000 + k - x AS run FROM c2)"""
+
+
+@query(f"""WITH RECURSIVE {CHUNKS}, {packed_sql("SELECT doc_id, run, i, n FROM c3", "doc_id, run", 900, 4, 1)}
+SELECT doc_id, CASE WHEN unit = 0 THEN 'section' ELSE 'sliding_window' END AS unit_type, first, last, n_rows AS n_chunks, total AS chars FROM pu
+UNION ALL SELECT doc_id, CASE role WHEN 'image' THEN 'visual_context' ELSE role END, k, k, 1, n FROM c1 WHERE role <> 'body'""")
+def r11_10_extraction_units(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents as chunks, seven under a heading, some of them rows and images, some missing."""
+    lines = table(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line")).filter("k % 13 <> 8")
+    role = F.when(F.col("k") % 11 == 5, "table_row").when(F.col("k") % 11 == 9, "image").otherwise("body")
+    method = F.when(role == "body", "llm").otherwise("rule")
+    chunks = lines.select("doc_id", F.col("k").alias("chunk_index"), role.alias("role"), method.alias("method"), F.floor(F.col("k") / 7).alias("heading"), F.length("line").alias("chars"))
+    return body_units(chunks, most=900, rows=4)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from siltworks.functions import clean
 from siltworks.operators.ranking import combine
+from siltworks.operators.packing import pack
 from siltworks.operators.trees import descendants, overlaps
 from siltworks.operators.vectors import cosine
-from siltworks.operators.windows import pack
 from siltworks.plans.guard import Plan, PlanError, run
 from siltworks.queries.structured import ORDERS
 from siltworks.sources.readers import read_csv, read_json
