@@ -284,7 +284,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
     wholes = cut(mixed.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "sum", "place")).alias("at")))
     first = F.shiftright("place", 16)
     stretch = lambda df: df.select("id", "sum", first.alias("first"), (first + F.col("place").bitwiseAND(255)).alias("last"))
-    out = stretch(again.filter("not mixed")).unionAll(stretch(mixed.join(wholes.filter("n > 1").select("core", "whole"), ["core", "whole"])))
+    copies = cut(wholes.filter("n > 1").select("core", "whole"))
+    out = stretch(again.filter("not mixed")).unionAll(cut(stretch(mixed.join(copies, ["core", "whole"]))))
 
     places = wholes.select("at.id", "at.sum", F.struct("core", "whole", F.col("at.place").alias("place"), (F.col("n") == 1).alias("alone")).alias("place"))
     per_text = places.groupBy("id", "sum").agg(F.collect_list("place").alias("places"))
