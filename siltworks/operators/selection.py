@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.operators.trees import reach
+
 
 def page(rows: DataFrame, *order: Column, limit: int = 50, offset: int = 0) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
@@ -51,11 +53,9 @@ def recall_at(exact: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(held, ["query", "id"], "left").groupBy("query").agg((F.count("held") / F.count("*")).alias("recall"))
 
 
-def subtree(edges: DataFrame, root: str, most: int = 64) -> DataFrame:
-    """(node) below and at ``root`` over ``edges`` (parent, child), level by level until a level is empty; nodes already seen end a walk."""
-    from siltworks.operators.trees import descendants
-
-    return descendants(edges, edges.sparkSession.createDataFrame([(root,)], "node string"), most).select("node")
+def subtree(edges: DataFrame, root: str) -> DataFrame:
+    """(node) below and at ``root`` over ``edges`` (parent, child), to the end; nodes already seen end a walk."""
+    return reach(edges, edges.sparkSession.createDataFrame([(root,)], "node string")).select("node")
 
 
 def confidence(base: Column, *losses: tuple[Column, float]) -> Column:

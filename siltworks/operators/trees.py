@@ -5,6 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.operators.ordered import written
+
+#: Levels that one round of a walk goes.
+STRIDE = 8
+
+
+def reach(edges: DataFrame, roots: DataFrame, stride: int = STRIDE) -> DataFrame:
+    """(node, level): all that is reachable from ``roots`` (node) over ``edges`` (parent, child), each node at its least level, roots at 0.
+
+    A round goes ``stride`` levels on from the nodes of the last one, leaves out those seen in earlier rounds, and
+    is written; the walk ends when a round finds nothing new, whatever the depth, so cycles end it too.  What was seen is kept
+    as a few written tables, put together every eighth round.  Null nodes are no nodes.
+    """
+    kept = written(edges.select("parent", "child").filter("parent is not null and child is not null"))
+    front = written(roots.select("node").filter("node is not null").distinct().withColumn("level", F.lit(0)))
+    seen, rounds = [front], 0
+    while True:
+        level, found = front, None
+        for _ in range(stride):
+            level = level.join(kept, level["node"] == kept["parent"]).select(F.col("child").alias("node"), (F.col("level") + 1).alias("level")).distinct()
+            found = level if found is None else found.unionAll(level)
+        known = seen[0]
+        for x in seen[1:]:
+            known = known.unionAll(x)
+        fresh = written(found.groupBy("node").agg(F.min("level").alias("level")).join(known.select("node"), "node", "left_anti"))
+        if fresh.isEmpty():
+            return known
+        seen, rounds = [*seen, fresh], rounds + 1
+        if len(seen) > 8:
+            whole = seen[0]
+            for x in seen[1:]:
+                whole = whole.unionAll(x)
+            seen = [written(whole)]
+        front = fresh.filter(F.col("level") == rounds * stride)
+
 
 def descendants(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(node, level) reachable from ``roots`` (node) over ``edges`` (parent, child) in at most ``depth`` steps, roots at 0.

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltworks.functions import clean, fold, titles
-from siltworks.operators import selection, tags, vectors
+from siltworks.operators import selection, tags, trees, vectors
 from siltworks.operators.predicates import any_case_contains
 from siltworks.plans.guard import Plan, Profile, run
 from siltworks.queries.graphs import EDGES, places
@@ -94,13 +95,25 @@ SUBTREE = f"WITH RECURSIVE {EDGES}, w AS (SELECT 'r1' AS node UNION SELECT e.chi
 
 @query(f"{SUBTREE} SELECT DISTINCT node FROM w")
 def r3_13_subtree(spark: SparkSession, d: str) -> DataFrame:
-    return selection.subtree(places(spark, d), "r1", 6)
+    return selection.subtree(places(spark, d), "r1")
+
+
+@query("""WITH x AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS level FROM events)
+SELECT event_id AS node, level::INT AS level FROM x""")
+def r3_13_walk_to_the_end(spark: SparkSession, d: str) -> DataFrame:
+    """From each user's first event to the next ones, one by one; the last leads back to the first."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, d, "events").select("user_id", "ts", "event_id")
+    first = F.first("event_id").over(w)
+    edges = rows.select(F.col("event_id").alias("parent"), F.coalesce(F.lead("event_id").over(w), first).alias("child"))
+    roots = rows.withColumn("first", first).filter("first = event_id").select(F.col("event_id").alias("node"))
+    return trees.reach(edges, roots)
 
 
 @query(f"{SUBTREE} SELECT o_orderkey FROM orders WHERE 'c' || o_custkey IN (SELECT node FROM w)")
 def r3_15_subtree_chunks(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("leaf"))
-    return tags.within(chunks, "leaf", selection.subtree(places(spark, d), "r1", 6).select(F.col("node").alias("id"))).select("o_orderkey")
+    return tags.within(chunks, "leaf", selection.subtree(places(spark, d), "r1").select(F.col("node").alias("id"))).select("o_orderkey")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) ORDER BY 1")
