@@ -102,7 +102,7 @@ def _answered(level: Level, answers: pa.Table, k: int, n: int) -> tuple[np.ndarr
     """Totals of the level's keys in the corpus, and which n-grams, by first word, occur in other buckets."""
     rows = answers.filter(pc.equal(answers.column("ngram"), k)).sort_by("part")
     totals = level.counts.astype(np.int64)
-    totals[level.asked] = np.concatenate([np.zeros(0, np.uint32), *[unpack(x.as_py(), np.uint32) for x in rows.column("totals")]])
+    totals[level.asked] = np.concatenate([np.zeros(0, np.int64), *[unpack(x.as_py(), np.int64) for x in rows.column("totals")]])
     elsewhere = np.zeros(n + 1, bool)
     elsewhere[level.first] = (totals > level.counts)[level.which]
     return totals, elsewhere
@@ -128,10 +128,11 @@ def _ask(k: int, parts: int):
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    """The answers to all blocks of one range."""
+    """The answers to all blocks of one range; a bucket's counts fit 32 bits, totals of the corpus take 64."""
     sent = [unpack_sorted(x.as_py()) for x in table.column("keys")]
     keys, where = np.unique(np.concatenate(sent), return_inverse=True)
-    totals = np.bincount(where, np.concatenate([unpack(x.as_py(), np.uint32) for x in table.column("counts")]), len(keys)).astype(np.uint32)
+    totals = np.zeros(len(keys), np.int64)
+    np.add.at(totals, where, np.concatenate([unpack(x.as_py(), np.uint32) for x in table.column("counts")]).astype(np.int64))
     ends = np.cumsum([len(x) for x in sent])
     answers = [pack(totals[where[e - len(x) : e]]) for x, e in zip(sent, ends, strict=True)]
     return pa.table([table.column("bucket"), table.column("ngram"), table.column("part"), pa.array(answers, pa.binary())], schema=ANSWER)
