@@ -1,4 +1,4 @@
 """Registered queries of the engine's own operators."""
 
-from siltworks.queries import blocks, cleaning, governance, graphs, lines, pages, payloads, records, retrieval, scoring, sections, structured, tables, windowed  # noqa: F401
+from siltworks.queries import blocks, cleaning, facts, governance, graphs, lines, pages, payloads, records, retrieval, scoring, sections, structured, tables, windowed  # noqa: F401
 from siltworks.registry import ORACLES, QUERIES  # noqa: F401
