@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltworks.functions.titles import section_relevance
+
 #: Headings of cases, and characters kept of a body.
 CASE_SECTIONS = ["背景", "问题", "解决方案", "效果", "反思"]
 SECTION_CHARS = 384
@@ -93,3 +95,31 @@ def outline_quality(outlines: DataFrame, nodes: DataFrame, key: str) -> DataFram
         F.round(F.greatest(orphans, F.lit(0.0)), 4).alias("orphan_block_ratio"),
         ((located < 0.95) | (projected < 0.9) | (bound < 0.7)).alias("review_required"),
     )
+
+
+def best_sections(hits: DataFrame, top: int = 3, by_path: bool = False) -> DataFrame:
+    """(query_id, section, seq, n_hits, strong, score, place): the ``top`` sections of each request, numbered by ``place`` in document order (seq).
+
+    Hits: query_id, query, section, seq, title, score, rank, and ``weak``: for sections of an outline (by_path False) whether the hit only asks
+    or sets a task; for sections of a document (by_path) whether the section's heading path is missing, and ``path``, its titles.
+    Sections whose title (or path) fits the query at 0.45 or more come first, then those of the higher best score, with 0.35 of that fit, a bonus for further hits and
+    a loss if all hits (or the heading) are weak; then those of the earlier first hit.  Hits are combined by section before they are ranked.
+    """
+    fit = section_relevance(F.col("query"), F.col("title"))
+    if by_path:
+        fit = F.greatest(fit, section_relevance(F.col("query"), F.col("path")))
+    most, each = (3, 0.015) if by_path else (2, 0.01)
+    grouped = hits.groupBy("query_id", "section").agg(
+        F.min("seq").alias("seq"),
+        F.count("*").alias("n_hits"),
+        F.max(F.coalesce(F.col("score").cast("double"), F.lit(0.0))).alias("best"),
+        F.min("rank").alias("first"),
+        F.max(fit).alias("fit"),
+        F.bool_and(F.coalesce("weak", F.lit(False))).alias("weak"),
+    )
+    score = F.col("best") + 0.35 * F.col("fit") + each * F.least(F.col("n_hits") - 1, F.lit(most)) - F.when(F.col("weak"), 0.08).otherwise(0.0)
+    rows = grouped.withColumn("strong", F.col("fit") >= 0.45).withColumn("score", F.round(score, 9))  # so that equal sums tie
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("strong").desc(), F.col("score").desc(), "first"))
+    kept = rows.withColumn("nth", nth).filter(F.col("nth") <= top)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("seq", "section"))
+    return kept.select("query_id", "section", "seq", "n_hits", "strong", "score", place.alias("place"))

@@ -18,3 +18,21 @@ def test_many_probes_equal_brute_force(spark):
     for q, x in rows[:200]:
         near = sorted((-sum(a * b for a, b in zip(x, y)) / norm(x) / norm(y), i) for i, y in rows)[:5]
         assert {i for s, i in near if -s >= 0.2} == {i for p, i in got if p == q}
+
+
+def test_sections_by_fit_score_and_first_hit(spark):
+    from siltworks.operators.sections import best_sections
+
+    rows = [
+        (1, "拍摄设备清单", "a", 30, "一、拍摄设备清单", 0.1, 4, False, ""),
+        (1, "拍摄设备清单", "b", 10, "其他", 0.9, 1, True, "拍摄设备清单"),
+        (1, "拍摄设备清单", "c", 20, "其他", 0.85, 2, False, ""),
+        (1, "拍摄设备清单", "c", 21, "其他", 0.2, 5, True, ""),
+        (1, "拍摄设备清单", "d", 5, "其他", 0.3, 3, None, ""),
+        (2, None, "e", 1, None, None, 1, False, None),
+    ]
+    hits = spark.createDataFrame(rows, "query_id long, query string, section string, seq long, title string, score double, rank long, weak boolean, path string")
+    got = sorted((r.query_id, r.place, r.section, r.n_hits, r.strong, round(r.score, 4)) for r in best_sections(hits).collect())
+    assert got == [(1, 1, "b", 1, False, 0.82), (1, 2, "c", 2, False, 0.86), (1, 3, "a", 1, True, 0.45), (2, 1, "e", 1, False, 0.0)]
+    by_path = sorted((r.place, r.section, r.strong, round(r.score, 4)) for r in best_sections(hits.filter("query_id = 1"), top=2, by_path=True).collect())
+    assert by_path == [(1, "b", True, 1.17), (2, "a", True, 0.45)]
