@@ -44,11 +44,11 @@ def _json(text: Column) -> Column:
     return F.to_json(text.cast("variant"))
 
 
-def _entries(value: Column) -> Column:
+def _entries(value: Column, named: Column) -> Column:
     """array<struct<key, value>> of an object (by key) or an array (without keys); null for others."""
     pairs = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
     items = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
-    return F.when(kind(value) == "OBJECT", pairs).when(kind(value) == "ARRAY", items)
+    return F.when(named == "OBJECT", pairs).when(named == "ARRAY", items)
 
 
 def scrub(text: Column) -> Column:
@@ -68,10 +68,13 @@ def _clean(value: Column, depth: int) -> Column:
         inner = F.when(key.rlike("|".join(SENSITIVE)), mask).when(key.isin(LARGE) & (kind(e["value"]) == "STRING"), omitted).otherwise(_clean(e["value"], depth + 1))
         return F.concat(F.when(e["key"].isNull(), "").otherwise(F.concat(_json(e["key"]), F.lit(":"))), inner)
 
-    # Each part stands once: a second mention would double the plan at every level.
-    inside = F.array_join(F.transform(_entries(value), of), ",")
-    whole = F.concat(F.when(kind(value) == "OBJECT", "{").otherwise("["), inside, F.when(kind(value) == "OBJECT", "}").otherwise("]"))
-    return F.when(kind(value).isin("OBJECT", "ARRAY"), whole).when(kind(value) == "STRING", _json(scrub(_text(value)))).otherwise(F.to_json(value))
+    # Each part stands once: a second mention would double the plan at every level. The kind is bound, so it is worked out once.
+    def by_kind(k: Column) -> Column:
+        inside = F.array_join(F.transform(_entries(value, k), of), ",")
+        whole = F.concat(F.when(k == "OBJECT", "{").otherwise("["), inside, F.when(k == "OBJECT", "}").otherwise("]"))
+        return F.when(k.isin("OBJECT", "ARRAY"), whole).when(k == "STRING", _json(scrub(_text(value)))).otherwise(F.to_json(value))
+
+    return F.get(F.transform(F.array(kind(value)), by_kind), F.lit(0))
 
 
 def redact(json: Column) -> Column:
