@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from siltworks.functions import noise
+from siltworks.operators import tables
+
 HEADINGS, MEDIA = ["heading", "title"], ["table", "chart", "image", "code", "equation"]
 #: What ends a sentence; what begins an item; footers; what is said about a figure; marks of a publisher's page.
 TERMINATORS = "。！？；…!?;.”\"’')）】]］」』》｝"
@@ -116,3 +119,36 @@ def repack(blocks: DataFrame) -> DataFrame:
     units = with_context(merged.join(hosts.select("doc_id", "seq", "attached"), ["doc_id", "seq"]), headings)
     first = F.row_number().over(Window.partitionBy("doc_id", "block_type", "text").orderBy("seq"))
     return units.withColumn("nth", first).filter("nth = 1").drop("nth")
+
+
+def promoted(blocks: DataFrame) -> DataFrame:
+    """Short numbered paragraphs and list items as headings; adds ``level`` (null for the others)."""
+    is_heading = F.coalesce(F.col("block_type").isin("paragraph", "list"), F.lit(False)) & noise.is_policy_heading(F.col("text"))
+    return blocks.withColumn("level", F.when(is_heading, noise.policy_level(F.col("text")))).withColumn("block_type", F.when(is_heading, "heading").otherwise(F.col("block_type")))
+
+
+def repack_all(blocks: DataFrame) -> DataFrame:
+    """The whole chain over blocks (doc_id, seq, block_type, page, text, caption, area, decorative, hint): (doc_id, seq, row, block_type, page, text, attached, merged_from, heading).
+
+    Numbered paragraphs become headings, headings with figures become metric cards and are no context then, blocks without content go, attributions are folded,
+    continuations merged, publishers' pages dropped, record tables taken apart (``row`` numbers what comes out of one), and every unit
+    gets the last heading before it; of equal units of a document the first stays.
+    """
+    rows = promoted(blocks)
+    slim = rows.select("doc_id", "seq", "block_type", "page", "text")
+    cards = tables.metric_cards(slim)
+    used = cards.select("doc_id", F.explode("consumed").alias("seq")).distinct()
+    headings = slim.filter(_is(HEADINGS)).join(used, ["doc_id", "seq"], "left_anti")
+    why = noise.dropped(*[F.col(c) for c in ("block_type", "text", "caption", "page", "area", "decorative")])
+    kept = navigational(rows).filter(why.isNull())
+    hosts = attributions(kept)
+    merged = publication_pages(continuations(hosts, slim.filter(_is(HEADINGS))))
+    told = merged.join(hosts.select("doc_id", "seq", "attached"), ["doc_id", "seq"]).join(rows.select("doc_id", "seq", "hint", "caption"), ["doc_id", "seq"])
+    apart = tables.explode_tables(told.select("doc_id", "seq", "block_type", "text", "hint", "caption")).select("doc_id", "seq", "row", "block_type", "text")
+    units = apart.join(told.select("doc_id", "seq", "page", "attached", "merged_from"), ["doc_id", "seq"])
+    none = F.array().cast("array<string>")
+    figures = cards.select("doc_id", "seq", F.lit(None).cast("int").alias("row"), F.lit("metric_image").alias("block_type"), "text", none.alias("attached"), F.col("consumed").cast("array<bigint>").alias("merged_from"))
+    figures = figures.join(slim.select("doc_id", "seq", "page"), ["doc_id", "seq"])
+    units = units.withColumn("merged_from", F.col("merged_from").cast("array<bigint>")).unionByName(figures)
+    first = F.row_number().over(Window.partitionBy("doc_id", "block_type", "text").orderBy("seq", "row"))
+    return with_context(units, headings).withColumn("nth", first).filter("nth = 1").drop("nth")

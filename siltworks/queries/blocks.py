@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltworks.functions import noise
 from siltworks.operators import blocks
 from siltworks.registry import query
 from siltworks.sources.readers import table
@@ -88,3 +89,52 @@ SELECT {_out}, attached, n_merged, sha256(heading) AS heading FROM s QUALIFY row
 def r10_18_repacked_units(spark: SparkSession, d: str) -> DataFrame:
     rows = blocks.repack(lines(spark, d))
     return rows.select("doc_id", "seq", "block_type", "page", F.sha2("text", 256).alias("text"), F.array_join("attached", "|").alias("attached"), F.size("merged_from").cast("long").alias("n_merged"), F.sha2("heading", 256).alias("heading"))
+
+
+#: What lines are replaced by, one in seventeen each: something for every rule.
+NOISY = [
+    "第 12 页 / 共 80 页", "42", "***---", "ab", "ABOUT US", "责任编辑：某某", "电子商务实践教程", "目 录", "第一章 概述........12", "QR code with central logo", "PART ONE PART TWO",
+    "（一）甲乙 12 （二）丙丁 15", "项目一 甲 项目二 乙 项目三 丙 项目四 丁 1 2 3", "一、重点任务", "（3）实训基地建设", "2. 同比增长 5%",
+]
+_noisy = " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(NOISY))
+_block = {
+    "block_type": "CASE WHEN k % 7 = 0 THEN 'image' WHEN k % 11 = 3 THEN 'list' WHEN k % 13 = 5 THEN 'table' ELSE 'paragraph' END",
+    "page": "k // 6",
+    "text": f"CASE (k * 7 + doc_id) % 33 {_noisy} ELSE line END",
+    "caption": "CASE WHEN k % 14 = 7 THEN 'A1' WHEN k % 21 = 0 THEN '图 1' END",
+    "area": "CASE WHEN k % 2 = 1 THEN 900.0 END",
+    "decorative": "k % 29 = 11",
+}
+_hit = lambda x, patterns: "(" + " OR ".join(f"regexp_matches({x}, '{p}')" for p in patterns) + ")"
+_count = lambda x, p: f"len(regexp_extract_all({x}, '{p}'))"
+NOISE = rf"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, k AS seq, {", ".join(f"{v} AS {k}" for k, v in _block.items())} FROM l),
+s AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x, coalesce(caption, '') AS c, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS p, regexp_replace(text, '\s+', '', 'g') AS z FROM b),
+w AS (SELECT *, CASE WHEN decorative THEN 'decorative' WHEN block_type = 'image' AND regexp_matches(x, '{noise.QR_CODE}') AND regexp_matches(x, '{noise.QR_ONLY}') THEN 'qr_code'
+  WHEN block_type = 'image' AND CASE WHEN c <> '' THEN regexp_matches(c, '{noise.SHORT_LABEL}') AND (x = '' OR regexp_matches(x, '{noise.SYMBOLS}')) AND coalesce(area, 1e9) <= {noise.SMALL_AREA}
+    ELSE x = '' OR regexp_matches(x, '{noise.FOOTER}') OR regexp_matches(x, '{noise.DIGITS}') OR regexp_matches(z, '{noise.PAGE_MARK}') OR regexp_matches(x, '{noise.SYMBOLS}') END THEN 'empty_media'
+  WHEN block_type IN ('image', 'table') THEN NULL WHEN x = '' THEN 'empty' WHEN regexp_matches(x, '{noise.FOOTER}') THEN 'footer' WHEN regexp_matches(x, '{noise.DIGITS}') THEN 'digits' WHEN regexp_matches(x, '{noise.SYMBOLS}') THEN 'symbols' WHEN length(z) < {noise.LEAST_CHARS} THEN 'short'
+  WHEN {_hit("x", noise.PROMOTION)} THEN 'promotion' WHEN {_hit("p", noise.METADATA)} THEN 'metadata' WHEN page <= 5 AND length(z) BETWEEN 8 AND 40 AND NOT regexp_matches(z, '\d') AND regexp_matches(z, '{noise.TITLE_ECHO}') THEN 'title_echo'
+  WHEN {_hit("p", noise.CONTENTS)} OR ({_count("p", "PART ")} >= 2 AND length(p) <= 160) OR (regexp_matches(p, '{noise.CONTENTS_RUN}') AND ({_count("p", "\\b\\d{1,3}\\b")} >= 3 OR regexp_matches(p, '{noise.PROJECT_PAGE}')))
+    OR ({_count("p", noise.CONTENTS_ITEM)} >= 2 AND length(p) <= 220) THEN 'contents' END AS why FROM s)"""
+
+
+def noisy(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents as blocks with captions and areas, one in two replaced by what a rule is about."""
+    rows = table(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    plain = lambda v: v.replace("k // 6", "CAST(floor(k / 6) AS BIGINT)").replace("900.0", "900.0D")
+    return rows.select("doc_id", F.col("k").cast("long").alias("seq"), *[F.expr(plain(v)).alias(k) for k, v in _block.items()])
+
+
+@query(f"WITH {NOISE} SELECT doc_id, coalesce(why, 'kept') AS why, count(*) AS n, sum(seq)::BIGINT AS seqs FROM w GROUP BY ALL")
+def r10_09_noise_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """How many blocks of a document go for each reason."""
+    why = noise.dropped(*[F.col(c) for c in ("block_type", "text", "caption", "page", "area", "decorative")])
+    return noisy(spark, d).groupBy("doc_id", F.coalesce(why, F.lit("kept")).alias("why")).agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
+@query(rf"""WITH {NOISE} SELECT doc_id, seq, CASE WHEN regexp_matches(x, '^([一二三四五六七八九十]+[、.．]|第[一二三四五六七八九十\d]+[章节篇])') THEN 2 WHEN regexp_matches(x, '^[（(][一二三四五六七八九十]+[）)]') THEN 3 WHEN regexp_matches(x, '^([（(]\d+[）)]|\d+\s*[.．、])') THEN 4 ELSE 3 END AS level
+FROM s WHERE block_type IN ('paragraph', 'list') AND length(z) BETWEEN 4 AND 80 AND NOT regexp_matches(z, '{noise.METRIC_VALUE}') AND regexp_matches(x, '{noise.POLICY_HEADING}')""")
+def r10_18_promoted_headings(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered paragraphs of documents that are taken for headings."""
+    return blocks.promoted(noisy(spark, d)).filter("block_type = 'heading'").select("doc_id", "seq", "level")
