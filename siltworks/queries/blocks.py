@@ -138,3 +138,18 @@ FROM s WHERE block_type IN ('paragraph', 'list') AND length(z) BETWEEN 4 AND 80
 def r10_18_promoted_headings(spark: SparkSession, d: str) -> DataFrame:
     """Numbered paragraphs of documents that are taken for headings."""
     return blocks.promoted(noisy(spark, d)).filter("block_type = 'heading'").select("doc_id", "seq", "level")
+
+
+# The chain's SQL over these blocks: what the rules drop and promote, then the folds and merges as above, where tables are hosts as well.
+_policy = rf"block_type IN ('paragraph', 'list') AND length(z) BETWEEN 4 AND 80 AND NOT regexp_matches(z, '{noise.METRIC_VALUE}') AND regexp_matches(x, '{noise.POLICY_HEADING}')"
+_renamed = NOISE.replace("b AS (SELECT doc_id, k AS seq", "b0 AS (SELECT doc_id, k AS seq").replace("AS z FROM b)", "AS z FROM b0)")
+CHAIN = rf"""{_renamed}, b AS (SELECT doc_id, seq, CASE WHEN {_policy} THEN 'heading' ELSE block_type END AS block_type, page, text, why FROM w),
+m AS (SELECT doc_id, seq, block_type, page, text FROM b WHERE block_type <> 'heading' AND why IS NULL AND NOT (block_type = 'paragraph' AND ltrim(text) LIKE '#%' AND contains(left(ltrim(text), 6), ' ')))
+{ATT[len(MEAN):].replace("block_type = 'image'", "block_type IN ('image', 'table')")}{CONT[len(ATT):]}{PUB[len(CONT):]}, u AS (SELECT r.*, (SELECT max_by(z.text, z.seq) FROM b z WHERE z.doc_id = r.doc_id AND z.block_type = 'heading' AND z.seq < r.seq) AS heading FROM r)"""
+
+
+@query(f"""WITH {CHAIN} SELECT {_out.replace("text", "u.text", 1).replace("AS u.text", "AS text")}, attached, n_merged, sha256(heading) AS heading FROM u QUALIFY row_number() OVER (PARTITION BY doc_id, block_type, u.text ORDER BY seq) = 1""")
+def r10_18_repacked_all(spark: SparkSession, d: str) -> DataFrame:
+    """The whole chain, with every reason to drop a block and numbered paragraphs as headings."""
+    rows = blocks.repack_all(noisy(spark, d).withColumn("hint", F.lit(None).cast("string")))
+    return rows.select("doc_id", "seq", "block_type", "page", F.sha2("text", 256).alias("text"), F.array_join("attached", "|").alias("attached"), F.size("merged_from").cast("long").alias("n_merged"), F.sha2("heading", 256).alias("heading"))
