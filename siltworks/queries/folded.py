@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions import clean, fold, screens, titles
+from siltworks.operators import governance
 from siltworks.queries.lines import SPLIT, split_lines
 from siltworks.registry import query
 from siltworks.sources.readers import table
@@ -164,3 +165,66 @@ def r10_21_conversation_pairs(spark: SparkSession, d: str) -> DataFrame:
     text = F.array_join(F.transform("x", lambda x: F.concat(F.lit("Q: "), x["t"], F.lit("\nA: "), x["next"])), "\n")
     pairs = texts.select("conv_id", titles.qa_pairs(text).alias("p")).filter(F.size("p") > 0)
     return pairs.select("conv_id", F.size("p").cast("long").alias("n"), F.sha2(F.array_join(F.transform("p", lambda p: F.concat(p["question"], F.lit("="), p["answer"])), ";"), 256).alias("pairs"))
+
+
+_weak = "CASE k % 6 WHEN 0 THEN ' 目录 ' || line WHEN 1 THEN '知识回顾：' || line WHEN 2 THEN left(line, 4) || ' 目录' WHEN 3 THEN '目 录' ELSE line END"
+
+
+@query(rf"""WITH l AS ({SPLIT}), t AS (SELECT doc_id, k, trim({_weak}) AS t, k % 5 = 4 AS goal FROM l)
+SELECT doc_id, count(*) FILTER (goal OR starts_with(t, '目录') OR starts_with(t, '目 录') OR starts_with(t, '知识回顾')) AS n_weak, count(*) AS n FROM t GROUP BY doc_id""")
+def r8_27_weak_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents that name goals or contents and answer nothing."""
+    from siltworks.queries.retrieval import weak_evidence
+
+    k = F.col("k")
+    rows = split_lines(spark, d).select("doc_id", weak_evidence(F.when(k % 5 == 4, F.concat(F.lit("学习目标 "), F.substring("line", 1, 5))), F.expr(_weak)).alias("weak"))
+    return rows.groupBy("doc_id").agg(F.count_if("weak").alias("n_weak"), F.count("*").alias("n"))
+
+
+_caption = "CASE k % 4 WHEN 0 THEN '登录界面 ' || left(line, 5) WHEN 1 THEN '流程图' WHEN 2 THEN NULL ELSE left(line, 12) END"
+_shown = "CASE k % 7 WHEN 0 THEN '- ' || left(line, 6) || chr(10) || '* b' || chr(10) || '•c' WHEN 1 THEN '密码 保存 取消 确定 ' || line || ' 点击' WHEN 2 THEN '<label>' || line || '<LABEL>' WHEN 3 THEN line || ' 密码' WHEN 4 THEN '- ' || line ELSE line END"
+_words = lambda x: f"len(regexp_extract_all({x}, '{screens.SCREEN_WORD}'))"
+
+
+@query(rf"""WITH l AS ({SPLIT}), c AS (SELECT doc_id, trim(coalesce({_caption}, '')) AS c, trim({_shown}) AS t FROM l), b AS (SELECT doc_id, c, t, CASE WHEN c = '' THEN t ELSE c || chr(10) || t END AS b FROM c),
+n AS (SELECT doc_id, c, {_words("b")} AS words, len(regexp_extract_all(b, '(?i)<label>')) AS labels, len(list_filter(string_split(b, chr(10)), lambda x: regexp_matches(trim(x), '^[-*•]') AND length(trim(x)) <= 24)) AS controls, regexp_matches(c, '{screens.SCREEN_CAPTION}') AS named FROM b)
+SELECT doc_id, count(*) FILTER (NOT regexp_matches(c, '{screens.KNOWLEDGE_CAPTION}') AND ((named AND (words >= 2 OR labels >= 1 OR controls >= 3)) OR labels >= 2 OR words >= 5)) AS n_screens, count(*) AS n FROM n GROUP BY doc_id""")
+def r11_09_screens_in_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents as texts of pictures, some of them controls of a screen."""
+    expr = lambda v: F.expr(v.replace("chr(10)", "'\\n'"))
+    rows = split_lines(spark, d).select("doc_id", screens.is_screenshot(expr(_caption), expr(_shown)).alias("screen"))
+    return rows.groupBy("doc_id").agg(F.count_if("screen").alias("n_screens"), F.count("*").alias("n"))
+
+
+@query("""WITH g AS (SELECT l_orderkey, count(*) AS kept, count(*) FILTER (l_returnflag = 'R') AS facts, count(*) FILTER (l_linestatus = 'F') AS links, avg((l_quantity < 45)::INT) AS single, avg((l_discount > 0.09)::INT) AS multi, avg((l_tax > 0.05)::INT) AS gen,
+  count(*) / count(DISTINCT l_suppkey % 3) AS per FROM lineitem GROUP BY 1)
+SELECT l_orderkey, array_to_string(list_filter([CASE WHEN kept >= 3 AND links = 0 THEN 'no_chunk_context_links' END, CASE WHEN kept >= 5 AND single > 0.9 AND per > 1.5 THEN 'over_localized_single_chunk_graph' END, CASE WHEN kept >= 3 AND gen > 0.3 THEN 'generic_entity_ratio_high' END,
+CASE WHEN kept >= 5 AND multi < 0.1 THEN 'multi_chunk_context_low' END], lambda x: x IS NOT NULL), ',') AS warnings, facts = 0 AS blocked FROM g""")
+def r11_13_gate_of_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The gate over figures counted from the lines of each order."""
+    from siltworks.queries.retrieval import graph_gate
+
+    share = lambda c: F.avg(F.expr(c).cast("int"))
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.count("*").alias("kept"),
+        F.count_if(F.col("l_returnflag") == "R").alias("facts"),
+        F.count_if(F.col("l_linestatus") == "F").alias("links"),
+        share("l_quantity < 45").alias("single"),
+        share("l_discount > 0.09").alias("multi"),
+        share("l_tax > 0.05").alias("gen"),
+        (F.count("*") / F.count_distinct(F.col("l_suppkey") % 3)).alias("per"),
+    )
+    warnings, blockers = graph_gate(*[F.col(c) for c in ("kept", "facts", "links", "single", "multi", "gen", "per")])
+    return g.select("l_orderkey", F.array_join(warnings, ",").alias("warnings"), (F.size(blockers) > 0).alias("blocked"))
+
+
+_told = [w for words, _ in governance.CO_EMISSIONS.values() for w in list(words)[:1]]
+_topic = "CASE k % 11 " + " ".join(f"WHEN {n} THEN left(line, 10) || ' {w.upper()} ' || line" for n, w in enumerate(_told)) + " ELSE line END"
+_sure = ", ".join(f"round(avg(CASE WHEN {' OR '.join(f'''contains(t, '{w}')''' for w in words)} THEN {sure} ELSE 0.3 END::DOUBLE), 6) AS c{n}" for n, (words, sure) in enumerate(governance.CO_EMISSIONS.values()))
+
+
+@query(f"WITH l AS ({SPLIT}), t AS (SELECT doc_id, lower({_topic}) AS t FROM l) SELECT doc_id, {_sure} FROM t GROUP BY doc_id")
+def r12_10_emissions_of_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Mean confidence, over a document's lines, that each further kind of knowledge is to be made."""
+    rows = split_lines(spark, d).select("doc_id", F.expr(_topic).alias("t"))
+    return rows.groupBy("doc_id").agg(*[F.round(F.avg(governance.co_emission(c, F.col("t"))), 6).alias(f"c{n}") for n, c in enumerate(governance.CO_EMISSIONS)])
