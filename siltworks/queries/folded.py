@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions import clean, fold, screens, titles
+from siltworks.functions.rules import graph_gate, weak_evidence
 from siltworks.operators import governance
 from siltworks.queries.lines import SPLIT, split_lines
 from siltworks.registry import query
@@ -174,8 +175,6 @@ _weak = "CASE k % 6 WHEN 0 THEN ' 目录 ' || line WHEN 1 THEN '知识回顾：'
 SELECT doc_id, count(*) FILTER (goal OR starts_with(t, '目录') OR starts_with(t, '目 录') OR starts_with(t, '知识回顾')) AS n_weak, count(*) AS n FROM t GROUP BY doc_id""")
 def r8_27_weak_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of documents that name goals or contents and answer nothing."""
-    from siltworks.queries.retrieval import weak_evidence
-
     k = F.col("k")
     rows = split_lines(spark, d).select("doc_id", weak_evidence(F.when(k % 5 == 4, F.concat(F.lit("学习目标 "), F.substring("line", 1, 5))), F.expr(_weak)).alias("weak"))
     return rows.groupBy("doc_id").agg(F.count_if("weak").alias("n_weak"), F.count("*").alias("n"))
@@ -202,8 +201,6 @@ SELECT l_orderkey, array_to_string(list_filter([CASE WHEN kept >= 3 AND links =
 CASE WHEN kept >= 5 AND multi < 0.1 THEN 'multi_chunk_context_low' END], lambda x: x IS NOT NULL), ',') AS warnings, facts = 0 AS blocked FROM g""")
 def r11_13_gate_of_orders(spark: SparkSession, d: str) -> DataFrame:
     """The gate over figures counted from the lines of each order."""
-    from siltworks.queries.retrieval import graph_gate
-
     share = lambda c: F.avg(F.expr(c).cast("int"))
     g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
         F.count("*").alias("kept"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltworks.functions import clean, fold, titles
+from siltworks.functions.rules import graph_gate, weak_evidence
 from siltworks.operators import selection, tags, trees, vectors
 from siltworks.operators.predicates import any_case_contains
 from siltworks.plans.guard import Plan, Profile, run
@@ -302,12 +303,6 @@ def r9_23_redacted_trail(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", first["ai_suggestion"].alias("suggestion"), first["final_value"].alias("final"), F.size(selection.redacted(trail, "public")).alias("n_public"), F.size(selection.redacted(trail, "full")).alias("n_full"))
 
 
-def weak_evidence(titles: Column, content: Column) -> Column:
-    """Hits that name goals or contents and answer nothing."""
-    text = F.trim(F.coalesce(content, F.lit("")))
-    return F.coalesce(titles, F.lit("")).contains("学习目标") | text.startswith("目录") | text.startswith("目 录") | text.startswith("知识回顾")
-
-
 @query(in_turn(("weak", [True, True, True, False, False, True])))
 def r8_27_weak_evidence(spark: SparkSession, d: str) -> DataFrame:
     rows = cells(spark, d, ["t|学习目标 一", " 目录 1", "知识回顾：", "正文 目录", None, "目 录"])
@@ -315,19 +310,6 @@ def r8_27_weak_evidence(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", weak_evidence(title, F.col("cell")).alias("weak"))
 
 
-def graph_gate(retained: Column, facts: Column, links: Column, single: Column, multi: Column, generic: Column, per_chunk: Column) -> tuple[Column, Column]:
-    """(warnings, blockers) of a graph's figures; nulls count as 0."""
-    retained, facts, links, single, multi, generic, per_chunk = (F.coalesce(c, F.lit(0)) for c in (retained, facts, links, single, multi, generic, per_chunk))
-    named = lambda *pairs: F.array_compact(F.array(*[F.when(holds, name) for name, holds in pairs]))
-    warnings = named(
-        ("no_chunk_context_links", (retained >= 3) & (links == 0)),
-        ("over_localized_single_chunk_graph", (retained >= 5) & (single > 0.9) & (per_chunk > 1.5)),
-        ("generic_entity_ratio_high", (retained >= 3) & (generic > 0.3)),
-        ("multi_chunk_context_low", (retained >= 5) & (multi < 0.1)),
-    )
-    return warnings, named(("no_persisted_graph_rows", facts == 0))
-
-
 @query("""WITH g AS (SELECT event_id, event_id % 8 AS kept, event_id % 3 AS facts, event_id % 2 AS links, (event_id % 11) / 10 AS single, (event_id % 7) / 20 AS multi, (event_id % 5) / 10 AS gen, (event_id % 4) / 2 AS per FROM events)
 SELECT event_id, array_to_string(list_filter([CASE WHEN kept >= 3 AND links = 0 THEN 'no_chunk_context_links' END, CASE WHEN kept >= 5 AND single > 0.9 AND per > 1.5 THEN 'over_localized_single_chunk_graph' END,
 CASE WHEN kept >= 3 AND gen > 0.3 THEN 'generic_entity_ratio_high' END, CASE WHEN kept >= 5 AND multi < 0.1 THEN 'multi_chunk_context_low' END], lambda x: x IS NOT NULL), ',') AS warnings, facts = 0 AS blocked FROM g""")
