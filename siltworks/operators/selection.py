@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.operators.ordered import ranked
 from siltworks.operators.trees import reach
 
 
@@ -19,6 +20,13 @@ def rerank(rows: DataFrame, score: str, rank: str, ordered: bool = False, on: bo
     return rows.orderBy(F.col(score).desc_nulls_last(), rank)
 
 
+def reranked(rows: DataFrame, keys: list[str], score: str, rank: str, ordered: bool = False, on: bool = True, how: str | None = None) -> DataFrame:
+    """The hits of many requests (keys) with ``place``, from 1 on, in the order that ``rerank`` gives one request's; requests may be of any size."""
+    as_they_were = ordered or not on or how in ("AND", "OR")
+    order = [F.col(rank).asc()] if as_they_were else [F.col(score).desc_nulls_last(), F.col(rank).asc()]
+    return ranked(rows, keys, order, "place")
+
+
 def within_budget(rows: DataFrame, key: str, score: str, id: str, size: str, items: int = 6, total: int = 3200) -> DataFrame:
     """(key, id, score, size, place) chosen greedily by score, ties by id: an item that doesn't fit is passed over, the first always fits.
 

@@ -176,6 +176,12 @@ def r6_06_rerank(spark: SparkSession, d: str) -> DataFrame:
     return selection.rerank(hits, "value", "event_id").withColumn("place", F.row_number().over(Window.orderBy(F.col("value").desc_nulls_last(), "event_id")))
 
 
+@query("""SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC NULLS LAST, event_id) AS place FROM events""")
+def r6_06_reranked_requests(spark: SparkSession, d: str) -> DataFrame:
+    """All events as hits of a request for their type, each with the place that the reranking gives it."""
+    return selection.reranked(table(spark, d, "events").select("event_type", "event_id", "value"), ["event_type"], "value", "event_id")
+
+
 @query("""WITH RECURSIVE h AS (SELECT o_custkey AS k, o_orderkey AS id, o_totalprice AS s, (o_orderkey % 900 + 300)::BIGINT AS n FROM orders),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s DESC, id) AS i FROM h),
 w AS (SELECT k, 0::BIGINT AS i, 0::BIGINT AS used, 0::BIGINT AS held, NULL::BIGINT AS id, 0.0::DOUBLE AS s, 0::BIGINT AS n, false AS fits FROM (SELECT DISTINCT k FROM r)

@@ -33,3 +33,16 @@ def test_rerank_keeps_an_order_that_was_asked_for(spark):
     rows = spark.createDataFrame([(0, 0.1), (1, 0.9), (2, 0.9), (3, None)], "rank int, score double")
     order = lambda **how: [r["rank"] for r in selection.rerank(rows, "score", "rank", **how).collect()]
     assert order() == [1, 2, 0, 3] and order(ordered=True) == order(on=False) == order(how="AND") == [0, 1, 2, 3]
+
+
+def test_places_are_those_of_the_reranking(spark):
+    from siltworks.operators.selection import rerank, reranked
+
+    rows = [(k, i, None if i % 5 == 0 else (i * 7) % 4) for k in ("a", "b") for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, id long, score long")
+    for more in ({}, {"ordered": True}, {"on": False}, {"how": "AND"}):
+        placed = {(r.k, r.id): r.place for r in reranked(df, ["k"], "score", "id", **more).collect()}
+        for k in ("a", "b"):
+            order = [r.id for r in rerank(df.filter(df.k == k), "score", "id", **more).collect()]
+            assert [placed[(k, i)] for i in order] == list(range(1, 31))
+
