@@ -133,3 +133,63 @@ def with_evidence(found: DataFrame, blocks: DataFrame, most: int = EVIDENCE, wid
     rows = mention(rows, "subject", F.col("primary"), "by_subject")
     rows = mention(rows, "object", F.concat("primary", "by_subject"), "by_object")
     return rows.select(*found.columns, "primary", F.concat("by_subject", "by_object").alias("evidence"))
+
+
+#: What begins a step, and fields of an indicator.
+STEP_MARKS = ["步骤", "阶段", "Step"]
+INDICATOR_FIELDS = ["维度", "指标", "权重", "评分标准"]
+
+
+def _offset_lines(texts: DataFrame) -> DataFrame:
+    """row, doc_id, k, line, start (code points) of texts (doc_id, text); rows of one doc_id are texts of their own."""
+    own = texts.filter("text is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    parts = F.split("text", "\n")
+    ends = F.aggregate(F.transform(parts, F.length), F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n + 1))
+    return own.select("row", "doc_id", F.posexplode(F.arrays_zip(parts.alias("line"), F.slice(ends, F.lit(1), F.size(parts)).alias("start"))).alias("k", "x")).select("row", "doc_id", "k", "x.*")
+
+
+def paragraphs(texts: DataFrame) -> DataFrame:
+    """(doc_id, n, content, start, end): what stands between empty lines, trimmed, with its place; ``n`` counts those that aren't blank, from 0 on."""
+    own = texts.filter("text is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    parts = F.split("text", "\n\n")
+    ends = F.aggregate(F.transform(parts, F.length), F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n + 2))
+    rows = own.select("row", "doc_id", F.posexplode(F.arrays_zip(parts.alias("raw"), F.slice(ends, F.lit(1), F.size(parts)).alias("at"))).alias("k", "x")).select("row", "doc_id", "k", "x.*")
+    content = _bare(F.col("raw"))
+    begin = F.col("at") + F.length("raw") - F.length(F.regexp_replace("raw", r"^\s+", ""))
+    kept = rows.filter(content != "")
+    n = F.row_number().over(Window.partitionBy("row").orderBy("k")) - 1
+    return kept.select("doc_id", n.alias("n"), content.alias("content"), begin.alias("start"), (begin + F.length(content)).alias("end"))
+
+
+def indicators(texts: DataFrame, fields: list[str] = INDICATOR_FIELDS, size: int | None = None) -> DataFrame:
+    """(doc_id, n, content, start, end): entries of ``field: value`` lines between blank lines, each written out as its fields, with the place of its first to its last such line.
+
+    Lines without a field don't count, and an entry without any isn't one; ``n`` numbers the stretches between blank lines.  A text without entries gives its paragraphs.  Null texts give nothing.
+    """
+    rows = _offset_lines(texts).select("row", "doc_id", F.col("k").cast("long").alias("k"), _bare(F.col("line")).alias("said"), "start", (F.col("start") + F.length("line")).alias("end"))
+    step = lambda s, x: (F.when(x["said"] == "", 0).otherwise(1), F.when((s == 0) & (x["said"] != ""), 1).otherwise(0))
+    scanned = scan(rows, ["row"], "k", 2, step, size).withColumn("n", F.col("count") - F.when(F.col("state") == 0, 0).otherwise(1))
+    found = F.lit(None).cast("struct<field: string, value: string>")
+    for f in reversed(fields):
+        value = F.regexp_extract("said", rf"^\Q{f}\E\s*[:：]\s*(.+)", 1)
+        found = F.when(value != "", F.struct(F.lit(f).alias("field"), _bare(value).alias("value"))).otherwise(found)
+    given = scanned.withColumn("g", found).filter("g is not null")
+    # A field keeps its first place and its last value.
+    each = given.groupBy("row", "doc_id", "n", "g.field").agg(F.min("k").alias("at"), F.max_by("g.value", "k").alias("value"), F.min("start").alias("start"), F.max("end").alias("end"))
+    lines_ = F.transform(F.sort_array(F.collect_list(F.struct("at", "field", "value"))), lambda x: F.concat(x["field"], F.lit(": "), x["value"]))
+    made = each.groupBy("row", "doc_id", "n").agg(F.array_join(lines_, "\n").alias("content"), F.min("start").alias("start"), F.max("end").alias("end"))
+    with_any = F.exists(F.split("text", "\n"), lambda x: _bare(x).rlike("^(" + "|".join(rf"\Q{f}\E" for f in fields) + r")\s*[:：]\s*.+"))
+    plain = paragraphs(texts.filter(~with_any)).select("doc_id", F.col("n").cast("long").alias("n"), "content", "start", "end")
+    return made.select("doc_id", "n", "content", "start", "end").unionByName(plain)
+
+
+def steps(texts: DataFrame, marks: list[str] = STEP_MARKS) -> DataFrame:
+    """(doc_id, n, title, content): what follows each mark of a step at the beginning of a line, up to the next; a text without steps gives its paragraphs, titled by number."""
+    some = "|".join(rf"\Q{m}\E" for m in marks)
+    pattern = rf"(?s)(?:^|\n)\s*(?:({some})\s*\d*[:：.、]?\s*)(.*?)(?=\n\s*(?:{some})\s*\d*[:：.、]|\z)"
+    side = lambda k: F.regexp_extract_all("text", F.lit(pattern), F.lit(k))
+    pairs = F.zip_with(side(1), side(2), lambda t, c: F.struct(_bare(t).alias("title"), _bare(c).alias("content")))
+    rows = texts.filter("text is not null").withColumn("steps_", F.filter(pairs, lambda p: p["content"] != ""))
+    made = rows.filter(F.size("steps_") > 0).select("doc_id", F.posexplode("steps_").alias("n", "s")).select("doc_id", "n", "s.*")
+    plain = paragraphs(rows.filter(F.size("steps_") == 0).select("doc_id", "text"))
+    return made.unionByName(plain.select("doc_id", "n", F.concat(F.lit("段落"), (F.col("n") + 1).cast("string")).alias("title"), "content"))

@@ -93,3 +93,39 @@ def r15_08_lifted_chunks(spark: SparkSession, d: str) -> DataFrame:
     targets = rows.filter("k % 2 = 0").select("doc_id", of(k % 6, ": ").alias("title"), k.alias("target"))
     chunks = rows.select("doc_id", k.alias("chunk_id"), F.array(of(k % 6, ""), of((k + 2) % 6, "，"), F.lit(None).cast("string"), F.lit(" ")).alias("path"))
     return headings.lift(chunks, targets).select("doc_id", F.col("chunk_id").alias("chunk"), "target")
+
+
+def joined(spark: SparkSession, d: str, planted: str) -> DataFrame:
+    """Documents whose lines ``planted``, an expression of k, line and doc_id, has changed."""
+    rows = split_lines(spark, d).select("doc_id", F.struct("k", F.expr(planted).alias("line")).alias("x")).groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return rows.select("doc_id", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("text"))
+
+
+_measured = "CASE WHEN k % 6 = 5 THEN '' WHEN doc_id % 4 = 0 THEN line WHEN k % 6 = 1 THEN ' 指标：' || left(line, 12) WHEN k % 6 = 2 THEN '权重: ' || k WHEN k % 6 = 3 THEN '指标:b' || k WHEN k % 12 = 4 THEN '评分标准：' ELSE line END"
+_field = "^(" + "|".join(lines.INDICATOR_FIELDS) + r")\s*[:：]\s*(.+)"
+#: Paragraphs of texts pt (doc_id, text) without fields.
+_plain = rf"""pp AS (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS p FROM pt), pq AS (SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) AS i FROM pp),
+pr AS (SELECT *, {_BARE.format("raw")} AS c, sum(length(raw) + 2) OVER (PARTITION BY doc_id ORDER BY i) - 2 - length(regexp_replace(raw, '^\s+', '')) AS start FROM pq), pv AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, c, start, start + length(c) AS stop FROM pr WHERE c <> '')"""
+
+
+@query(rf"""WITH l AS ({SPLIT}), p AS (SELECT doc_id, k, {_measured} AS line FROM l), t AS (SELECT doc_id, k, line, {_BARE.format("line")} AS s, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 - length(line) AS start FROM p),
+e AS (SELECT *, s <> '' AND coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY k) = '', true) AS opens FROM t), n AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n FROM e WHERE s <> ''),
+g AS (SELECT doc_id, n, regexp_extract(s, '{_field}', 1) AS f, {_BARE.format(f"arg_max(regexp_extract(s, '{_field}', 2), k)")} AS v, min(k) AS k, min(start) AS start, max(start + length(line)) AS stop FROM n WHERE regexp_matches(s, '{_field}') GROUP BY ALL),
+i AS (SELECT doc_id, n, string_agg(f || ': ' || v, chr(10) ORDER BY k) AS c, min(start) AS start, max(stop) AS stop FROM g GROUP BY doc_id, n), pt AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS text FROM p WHERE doc_id NOT IN (SELECT doc_id FROM g) GROUP BY doc_id), {_plain}
+SELECT doc_id, n::BIGINT AS n, sha256(c) AS content, start::INT AS start, stop::INT AS "end" FROM (SELECT * FROM i UNION ALL SELECT * FROM pv)""")
+def r10_23_indicators(spark: SparkSession, d: str) -> DataFrame:
+    """Indicators of documents with planted fields; every fourth document has none and gives its paragraphs."""
+    return lines.indicators(joined(spark, d, _measured)).select("doc_id", "n", F.sha2("content", 256).alias("content"), "start", "end")
+
+
+_stepped = "CASE WHEN k % 6 = 5 THEN '' WHEN doc_id % 3 = 0 THEN line WHEN k % 4 = 1 THEN ' 步骤 ' || k || '：' || line WHEN k % 12 = 3 THEN 'Step2.' WHEN k % 12 = 7 THEN '阶段、 x' ELSE line END"
+_mark = r"^\s*(步骤|阶段|Step)\s*[0-9]*[:：.、]\s*"
+
+
+@query(rf"""WITH l AS ({SPLIT}), p AS (SELECT doc_id, k, {_stepped} AS line FROM l), m AS (SELECT doc_id, k, line, regexp_extract(line, '{_mark}', 1) AS title, sum((regexp_matches(line, '{_mark}'))::INT) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM p),
+s AS (SELECT doc_id, run, max(title) AS title, {_BARE.format(f"string_agg(regexp_replace(line, '{_mark}', ''), chr(10) ORDER BY k)")} AS c FROM m WHERE run > 0 GROUP BY doc_id, run),
+x AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS n, title, c FROM s WHERE c <> ''), pt AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS text FROM p WHERE doc_id NOT IN (SELECT doc_id FROM x) GROUP BY doc_id), {_plain}
+SELECT doc_id, n::INT AS n, title, sha256(c) AS content FROM x UNION ALL SELECT doc_id, n, '段落' || (n + 1), sha256(c) FROM pv""")
+def r10_22_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of documents with planted marks; every third document has none and gives its paragraphs."""
+    return lines.steps(joined(spark, d, _stepped)).select("doc_id", "n", "title", F.sha2("content", 256).alias("content"))

@@ -106,3 +106,51 @@ def test_chunks_go_to_the_deepest_title_of_one_target(spark):
     targets = spark.createDataFrame([(1, "A, b", 1), (1, "Same", 2), (1, "same.", 3), (1, "Deep", 4), (2, "A b", 5), (1, " ", 6)], "doc_id long, title string, target long")
     chunks = spark.createDataFrame([(1, 1, ["A B", "deep"]), (1, 2, ["ab", "SAME"]), (1, 3, ["Same"]), (1, 4, None), (1, 5, [None, "", "x"]), (2, 6, ["ab", "deep"])], "doc_id long, chunk_id long, path array<string>")
     assert sorted((r.chunk_id, r.target) for r in headings.lift(chunks, targets).collect()) == [(1, 4), (2, 1), (6, 5)]
+
+
+def walk_paragraphs(text):
+    out, cursor = [], 0
+    for raw in text.split("\n\n"):
+        if said := raw.strip():
+            start = cursor + raw.find(said)
+            out.append((said, start, start + len(said)))
+        cursor += len(raw) + 2
+    return out
+
+
+def walk_indicators(text):
+    out, current, span, cursor = [], {}, None, 0
+    for line in [*text.split("\n"), ""]:
+        if not line.strip():
+            if current:
+                out.append(("\n".join(f"{k}: {v}" for k, v in current.items()), *span))
+            current, span = {}, None
+        for f in lines.INDICATOR_FIELDS:
+            if m := re.match(rf"{f}\s*[:：]\s*(.+)", line.strip()):
+                current[f] = m[1].strip()
+                span = (span[0] if span else cursor, cursor + len(line))
+                break
+        cursor += len(line) + 1
+    return out or walk_paragraphs(text)
+
+
+def walk_steps(text):
+    marks = "|".join(lines.STEP_MARKS)
+    regex = rf"(?:^|\n)\s*(?:({marks})\s*\d*[:：.、]?\s*)(.*?)(?=\n\s*(?:{marks})\s*\d*[:：.、]|\Z)"
+    out = [(m[1].strip(), m[2].strip()) for m in re.finditer(regex, text, re.DOTALL) if m[2].strip()]
+    return out or [(f"段落{i + 1}", p[0]) for i, p in enumerate(walk_paragraphs(text))]
+
+
+@pytest.mark.parametrize("size", [2, 256])
+def test_indicators_and_steps_equal_walks(spark, size):
+    rng = random.Random(7)
+    kinds = ["", "", " ", "指标: a", " 权重：3 ", "评分标准:", "维度 : x", "指标：b", "plain", "步骤 1：do", "Step2. it", " 阶段、", "Step", "é𝒳 word"]
+    texts = ["", "one", "\n\n x \n\n\ny\n"] + ["\n".join(rng.choice(kinds[: rng.choice([9, 14])]) for _ in range(rng.randrange(25))) for _ in range(120)]
+    df = spark.createDataFrame([*enumerate(texts), (999, None)], "doc_id long, text string").repartition(4)
+    measured, stepped = {}, {}
+    for r in lines.indicators(df, size=size).orderBy("doc_id", "n").collect():
+        measured.setdefault(r.doc_id, []).append((r.content, r.start, r.end))
+    for r in lines.steps(df).orderBy("doc_id", "n").collect():
+        stepped.setdefault(r.doc_id, []).append((r.title, r.content))
+    assert measured == {i: w for i, t in enumerate(texts) if (w := walk_indicators(t))}
+    assert stepped == {i: w for i, t in enumerate(texts) if (w := walk_steps(t))}
