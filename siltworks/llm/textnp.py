@@ -8,6 +8,7 @@ shingles share one with probability 2**-64 a pair.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,6 +128,15 @@ def shingles(h: np.ndarray, split: np.ndarray, k: int, short: bool = False) -> t
     return mix(out), word, ends
 
 
+def release() -> None:
+    """Give freed memory back to the system; a worker that waits for its next task keeps it else."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def each(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, boundaries) of the steps of a batch."""
     text, at = rows(batch.column(column))
