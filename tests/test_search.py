@@ -20,6 +20,30 @@ def test_many_probes_equal_brute_force(spark):
         assert {i for s, i in near if -s >= 0.2} == {i for p, i in got if p == q}
 
 
+def test_many_probes_score_as_few_do_on_odd_vectors(spark, monkeypatch):
+    rng = random.Random(7)
+    vec = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(30)]
+    rows = [(i, list(vec[i % 30])) for i in range(200)]  # ties by id
+    rows += [(200, None), (201, []), (202, [0.0] * 6), (203, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (204, [1.0, 2.0]), (205, [1e-160] * 6), (206, [float("nan")] + [1.0] * 5), (207, [-x for x in vec[3]])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    probes = v.filter("vec_id < 60 or vec_id in (200, 201, 202, 203, 204, 207)").selectExpr("concat('q', vec_id) AS query", "embedding AS probe")
+    monkeypatch.setattr(vectors, "ROWS", 16)
+    monkeypatch.setattr(vectors, "WIDE", 16)
+    for threshold in (-1.0, 0.2):
+        monkeypatch.setattr(vectors, "BLOCK", 64)
+        many = sorted(map(repr, vectors.search(v, probes, threshold, 7).collect()))
+        monkeypatch.setattr(vectors, "BLOCK", 1000)
+        assert many == sorted(map(repr, vectors.search(v, probes, threshold, 7).collect()))
+
+
+def test_many_probes_make_no_row_for_a_pair(spark):
+    v = spark.range(600).selectExpr("id AS vec_id", "transform(sequence(1, 4), x -> double(hash(id, x) % 1000)) AS embedding")
+    found = vectors.search(v, v.filter("vec_id < 100").selectExpr("vec_id AS query", "embedding AS probe"), -1.0, 5)
+    assert found.count() == 500
+    plan = found._jdf.queryExecution().toString()
+    assert "Generate explode(probes" not in plan and "MapInArrow" in plan
+
+
 def test_sections_by_fit_score_and_first_hit(spark):
     from siltworks.operators.sections import best_sections
 
