@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltworks.operators.ordered import meet
+from siltworks.operators.ordered import meet, written
 from siltworks.operators.trees import overlaps
 
 #: Lines of a key that one array holds.
@@ -108,27 +108,29 @@ def with_evidence(found: DataFrame, blocks: DataFrame, most: int = EVIDENCE, wid
     """Adds ``primary`` and ``evidence``, arrays of block_id, from blocks (doc_id, block_id, seq, text, start, end).
 
     Primary blocks overlap the line.  Evidence are the first ``most`` other blocks, by seq, that mention the subject, then the first others that mention the object.
-    Span pairs come from an equi-join on cells; a concept is looked for in the blocks that hold its first two characters, and no more than
-    ``most`` of it are kept in a task.
+    Span pairs come from an equi-join on cells.  A document's blocks meet its distinct concepts once, where its rows lie; a block that
+    holds one goes on as its number alone, and of those only as many as a concept can need, which is ``2 * most`` and its primary ones.
     """
-    keyed = found.withColumn("id_", F.struct("n", "start", "subject", "predicate", "object"))
+    keyed = written(found.withColumn("id_", F.struct("n", "start", "subject", "predicate", "object")))
     spans = keyed.select("doc_id", "id_", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
     placed = blocks.select("doc_id", "block_id", "seq", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     first = lambda *c: F.transform(F.sort_array(F.collect_set(F.struct(*c))), lambda x: x["block_id"])
     primary = overlaps(placed, spans, "doc_id", width).groupBy("doc_id", "id_").agg(first("seq", "block_id").alias("primary"))
-    rows = keyed.join(primary, ["doc_id", "id_"], "left").withColumn("primary", F.coalesce("primary", F.array().cast("array<string>")))
-    said = blocks.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "block_id", "seq", F.coalesce("text", F.lit("")).alias("said"))
-    letters = F.split("said", "")
-    pairs = F.zip_with(letters, F.slice(letters, F.lit(2), F.size(letters)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    said = said.withColumn("key_", F.explode(F.array_distinct(F.concat(letters, pairs))))
+    empty = F.array().cast("array<string>")
+    rows = written(keyed.join(primary, ["doc_id", "id_"], "left").withColumn("primary", F.coalesce("primary", empty)))
+    concepts = rows.select("doc_id", F.size("primary").alias("taken_"), F.explode(F.array("subject", "object")).alias("c_")).filter("c_ != ''")
+    concepts = concepts.groupBy("doc_id", "c_").agg((F.max("taken_") + 2 * most).alias("need_"))
+    said = blocks.filter("block_id is not null").select("doc_id", F.struct("seq", "block_id").alias("block_"), F.coalesce("text", F.lit("")).alias("said_"))
+    asked = concepts.withColumnRenamed("doc_id", "asked_")
+    held = said.join(asked, (F.col("doc_id") == F.col("asked_")) & F.contains("said_", "c_")).select("doc_id", "c_", "need_", "block_")
+    nth = F.dense_rank().over(Window.partitionBy("doc_id", "c_").orderBy("block_"))
+    hits = held.withColumn("nth_", nth).filter("nth_ <= need_").groupBy("doc_id", "c_").agg(F.sort_array(F.collect_set("block_")).alias("hits_"))
 
     def mention(rows: DataFrame, concept: str, seen: Column, name: str) -> DataFrame:
-        """Blocks that hold the first two characters of a concept meet it, and are then searched."""
-        met = rows.select("doc_id", "id_", F.col(concept).alias("c_"), F.substring(concept, 1, 2).alias("key_"), seen.alias("seen_")).filter("c_ != ''").join(said, ["doc_id", "key_"])
-        met = met.filter(F.contains("said", "c_") & ~F.array_contains("seen_", F.col("block_id")))
-        nth = F.row_number().over(Window.partitionBy("doc_id", "id_").orderBy("seq", "block_id"))
-        kept = met.withColumn("nth_", nth).filter(F.col("nth_") <= most).groupBy("doc_id", "id_").agg(first("seq", "block_id").alias(name))
-        return rows.join(kept, ["doc_id", "id_"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+        """The first ``most`` blocks of a concept that weren't seen."""
+        met = rows.join(hits.withColumnRenamed("c_", concept), ["doc_id", concept], "left")
+        others = F.filter("hits_", lambda b: ~F.array_contains(seen, b["block_id"]))
+        return met.withColumn(name, F.coalesce(F.transform(F.slice(others, 1, most), lambda b: b["block_id"]), empty)).drop("hits_")
 
     rows = mention(rows, "subject", F.col("primary"), "by_subject")
     rows = mention(rows, "object", F.concat("primary", "by_subject"), "by_object")

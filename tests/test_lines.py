@@ -73,6 +73,23 @@ def test_triples_and_evidence(spark):
     assert some == {0: [f"c{k}" for k in range(5)], 2: [f"c{k}" for k in range(5)]}
 
 
+def test_evidence_is_all_that_a_walk_finds(spark):
+    """Concepts that most blocks hold, with more primary blocks than evidence, as one block after the other is read."""
+    rng = random.Random(5)
+    blocks = [(d, f"b{k}", k, "".join(rng.choice("abc") for _ in range(6)), k * 6, k * 6 + 6) for d in (1, 2) for k in range(40)]
+    found = [(d, n, "".join(rng.choice("abc") for _ in range(rng.randrange(4))), "r", "".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))), at, at + rng.choice([1, 9, 80])) for d in (1, 2) for n, at in enumerate(range(0, 120, 11))]
+    made = lines.with_evidence(spark.createDataFrame(found, "doc_id long, n int, subject string, predicate string, object string, start int, end int"), spark.createDataFrame(blocks, "doc_id long, block_id string, seq int, text string, start int, end int"))
+    assert not any(x in made._jdf.queryExecution().toString() for x in ("said_, key_", "explode(array_distinct"))  # no row for each pair of characters
+    got = {(r.doc_id, r.n): ([*r.primary], [*r.evidence]) for r in made.collect()}
+    assert len(got) == len(found)
+    for d, n, subject, _, object_, start, end in found:
+        mine = [b for b in blocks if b[0] == d]
+        primary = [b[1] for b in mine if b[4] < end and b[5] > start]
+        first = [b[1] for b in mine if subject and subject in b[3] and b[1] not in primary][:5]
+        then = [b[1] for b in mine if object_ in b[3] and b[1] not in primary + first][:5]
+        assert got[(d, n)] == (primary, first + then)
+
+
 def walk_chapters(rows):
     out, i = [], 0
     while i < len(rows):
