@@ -91,3 +91,12 @@ def test_empty_tables_and_plans(spark):
     assert "row_number" not in plan and plan.count("Window [") == 1  # over the table of keys and partitions
     whole = rank.groupBy("k").agg(F.max("rank").alias("n")).orderBy("k").collect()
     assert [tuple(r) for r in whole] == [(0, 50), (1, 50)]
+
+
+def test_product_of_a_key_is_made_in_many_tasks(spark):
+    left = spark.range(300).selectExpr("if(id < 250, 1L, if(id < 290, 2L, null)) AS k", "id AS x")
+    right = spark.range(40).selectExpr("if(id < 30, 1L, null) AS j", "id AS y")
+    made = ordered.dealt_left(left, right, "k", "j")
+    assert sorted(map(str, made.collect())) == sorted(map(str, left.join(right, left["k"] == right["j"], "left").collect()))
+    sizes = made.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert max(r["count"] for r in sizes) < 0.2 * made.count()
