@@ -26,15 +26,21 @@ def title_key(text: Column) -> Column:
 def title_score(query: Column, title: Column) -> Column:
     """10,000 and the length for a title that holds the query, 8,000 for one it holds, 9,000 and 8,500 by their keys,
     else the bigrams they share from three on; ``query`` is a query's key."""
-    plain, compact_q, compact_t = query_key(title), title_key(query), title_key(title)
+    plain = query_key(title)
+    held = settling_score(query, title_key(query), plain, title_key(title))
     both = F.size(F.array_intersect(bigrams(query), bigrams(plain)))
+    return F.when((plain == "") | (held > 0), held).otherwise(F.when(both >= 3, both).otherwise(0))
+
+
+def settling_score(query: Column, compact_q: Column, plain: Column, compact_t: Column) -> Column:
+    """``title_score`` without shared bigrams, from a query's key, the title key of that, and both keys of a title; for those who score a title with many queries."""
     return (
         F.when(plain == "", 0)
         .when(plain.contains(query), 10_000 + F.length(query))
         .when((F.length(plain) >= 4) & query.contains(plain), 8_000 + F.length(plain))
         .when((F.length(compact_q) >= 3) & compact_t.contains(compact_q), 9_000 + F.length(compact_q))
         .when((F.length(compact_t) >= 4) & compact_q.contains(compact_t), 8_500 + F.length(compact_t))
-        .otherwise(F.when(both >= 3, both).otherwise(0))
+        .otherwise(0)
     )
 
 
