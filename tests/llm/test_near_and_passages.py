@@ -150,6 +150,27 @@ def test_interleaved_variants_of_a_passage_have_every_exact_repeat(spark):
     assert whole == expected
 
 
+def test_near_copies_in_one_group_of_variants_are_all_linked(spark):
+    """Variants of a passage that aren't similar to each other, and one near copy of each, far from it in the order."""
+    rng = random.Random(43)
+    base, rows = prose(rng, 60, 10**6).split(), []
+    for v in range(40):
+        w = list(base)
+        for k in (8 + v % 5, 28 + v % 7, 49 - v % 3):
+            w[k] = f"v{v}x{k}"
+        near = list(w)
+        near[20] = f"e{v}"
+        for i, p in ((v, w), (1000 + (v * 17) % 40, near)):
+            rows.append((i, f"{prose(rng, 30, 10**6)} {' '.join(p)} {prose(rng, 30, 10**6)}"))
+    found = {(r.doc_id, r.other) for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()}
+    assert {(1000 + (v * 17) % 40, v) for v in range(40)} <= found
+
+
+def test_shared_runs_of_similar_passages():
+    assert substring_dedup.shared_run(5, 46, 80) == 21
+    assert substring_dedup.shared_run(5, 46, 100) == 46
+
+
 def test_a_line_that_also_stands_elsewhere_does_not_break_a_passage():
     width = substring_dedup.PASSAGE - substring_dedup.WORDS + 1
     rng = np.random.default_rng(13)
