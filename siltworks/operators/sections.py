@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltworks.functions.titles import section_relevance
+from siltworks.operators.ordered import fresh, parts
 
 #: Headings of cases, and characters kept of a body.
 CASE_SECTIONS = ["背景", "问题", "解决方案", "效果", "反思"]
@@ -40,14 +41,21 @@ def case_sections(text: Column, names: list[str] = CASE_SECTIONS, chars: int = S
     return F.filter(made, lambda s: s["body"] != "")
 
 
-def upsert(held: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+def upsert(held: DataFrame, new: DataFrame, keys: list[str], order: str, insert: bool = True) -> DataFrame:
     """``held`` with the rows of ``new`` put in by key; of several new ones of a key the last by ``order`` counts, of equally late ones the greatest.
 
-    ``new`` is combined before its shuffle; ``held`` must have each key once.
+    ``held`` must have each key once; without ``insert``, new rows of other keys are left out.  Both sides are dealt by key into parts
+    of a bounded number of rows; many new rows of one key are combined in several tasks first.
     """
     rest = [c for c in held.columns if c not in keys]
-    last = new.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("order_"), F.struct(*rest).alias("kept"))).alias("row")).select(*keys, "row.kept.*")
-    return held.join(last.select(*keys), keys, "left_anti").unionByName(last)
+    n = parts(held.count(), new.count())
+    row, salt = fresh(held, "row", "salt")
+    late = F.struct(F.col(order).alias("order_"), F.struct(*rest).alias("kept"))
+    rows = new.select(*keys, late.alias(row), F.pmod(F.xxhash64(order), F.lit(16)).alias(salt))
+    some = rows.repartition(n, *keys, salt).groupBy(*keys, salt).agg(F.max(row).alias(row))
+    last = some.repartition(n, *keys).groupBy(*keys).agg(F.max(row).alias(row))
+    joined = held.repartition(n, *keys).join(last, keys, "full" if insert else "left")
+    return joined.select(*keys, *[F.when(F.col(row).isNull(), F.col(c)).otherwise(F.col(f"{row}.kept.{c}")).alias(c) for c in rest])
 
 
 # Types of nodes whose place must be known.

@@ -16,7 +16,7 @@ SELECT o.o_orderkey, coalesce(n.price, o_totalprice) AS price FROM orders o LEFT
 def r1_15_keyed_upsert(spark: SparkSession, d: str) -> DataFrame:
     held = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
     new = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("price"), "l_linenumber")
-    return sections.upsert(held, new.join(held.select("o_orderkey"), "o_orderkey", "left_semi"), ["o_orderkey"], "l_linenumber")
+    return sections.upsert(held, new, ["o_orderkey"], "l_linenumber", insert=False)
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents),
