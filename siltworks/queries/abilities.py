@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.operators import abilities
+from siltworks.operators.ordered import parts
 from siltworks.registry import query
 from siltworks.sources.readers import table
 
@@ -44,6 +45,7 @@ def r12_07_ability_findings(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("analysis"), F.concat_ws(".", (F.col("l_suppkey") % 3).cast("string"), (F.col("l_linenumber") % 2).cast("string")).alias("held"), *exprs(_ABILITY))
     held = lines.filter("category = 'P'").select("analysis", F.col("held").alias("code"))
     nothing = orders.filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("analysis"), F.lit(None).cast("string").alias("code"))
-    overview = held.filter("analysis % 3 = 0").unionByName(nothing).join(analyses.select("analysis"), "analysis", "left_semi")
+    n = parts(orders.count(), lines.count())
+    overview = held.filter("analysis % 3 = 0").unionByName(nothing).repartition(n, "analysis").join(analyses.select("analysis").repartition(n, "analysis"), "analysis", "left_semi")
     specs = spark.createDataFrame(_SPECS, "profile string, category string, required boolean, regex string, needs_content boolean, segments int")
     return abilities.findings(analyses, specs, lines.drop("held"), held, overview)

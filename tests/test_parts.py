@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from siltworks.operators import ordered, sections
+from siltworks.operators import abilities, ordered, sections
 
 
 def stated(df) -> list[int]:
@@ -25,3 +25,16 @@ def test_upsert_is_dealt_by_rows(spark, monkeypatch):
     assert len(rows) == len(want) and {r.k: r.price for r in rows} == want
     rows = sections.upsert(held, new, ["k"], "at", insert=False).collect()
     assert {r.k: r.price for r in rows} == {k: v for k, v in want.items() if k is None or k < 300} and len(rows) == 301
+
+
+def test_findings_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "TASK_ROWS", 50)
+    analyses = spark.range(200).selectExpr("id AS analysis", "'M' AS profile", "'M' AS model", "true AS declared", "true AS linked")
+    items = spark.range(600).selectExpr("id % 200 AS analysis", "id AS ability", "concat('P-1.', id % 200, '.', id) AS code", "'P' AS category", "'content' AS content", "id AS task", "id AS work_content")
+    codes = spark.range(200).selectExpr("id AS analysis", "CASE WHEN id % 50 = 7 THEN '2.1' ELSE concat('1.', id) END AS code")
+    specs = spark.createDataFrame([("M", "P", True, r"P-.*", True, 3), ("M", "G", False, "G", False, 2)], "profile string, category string, required boolean, regex string, needs_content boolean, segments int")
+    overview = codes.filter("analysis < 150").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS analysis, 'x' AS code"))
+    found = abilities.findings(analyses, specs, items, codes.unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS analysis, 'x' AS code")), overview)
+    dealt = stated(found)
+    assert len(dealt) >= 6 and set(dealt) == {16}
+    assert {(r.analysis, r.rule) for r in found.collect()} == {(a, abilities.RULES["sets"]) for a in (None, 7, 57, 107)}
