@@ -11,34 +11,62 @@ from siltworks.operators.ordered import written
 STRIDE = 8
 
 
+def _climbed(edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, top, up) of nodes with one parent, and (node) of the tops: roots, and nodes with none or several.
+
+    ``top`` is the nearest one above, ``up`` steps away.  Steps are doubled each round, so the rounds grow with the logarithm of
+    the longest chain; what has no top above lies below a cycle that nothing leads into, and is left out.
+    """
+    parents = edges.groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("at"), F.max("parent").alias("most"))
+    single = parents.filter("at = most").select("node", "at").join(roots, "node", "left_anti")
+    single = written(single)
+    above = written(edges.select(F.col("parent").alias("node")).unionAll(edges.select("child")).unionAll(roots.select("node")).distinct().join(single, "node", "left_anti"))
+    # ``done``: what stands at ``at`` is a top.
+    rows = written(single.join(above.select(F.col("node").alias("at"), F.lit(True).alias("done")), "at", "left").select("node", "at", F.lit(1).alias("up"), F.coalesce("done", F.lit(False)).alias("done")))
+    settled, left = [rows.filter("done")], rows.filter("not done")
+    while not left.isEmpty():
+        known = settled[0]
+        for x in settled[1:]:
+            known = known.unionAll(x)
+        to = known.unionAll(left).select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("up").alias("more"), F.col("done").alias("ends"))
+        rows = written(left.drop("done").join(to, "at").select("node", F.col("next").alias("at"), (F.col("up") + F.col("more")).alias("up"), F.col("ends").alias("done")))
+        ended = rows.filter("done")
+        if ended.isEmpty():
+            break
+        settled, left = [*settled, ended], rows.filter("not done")
+    whole = settled[0]
+    for x in settled[1:]:
+        whole = whole.unionAll(x)
+    return whole.select("node", F.col("at").alias("top"), "up"), above
+
+
 def reach(edges: DataFrame, roots: DataFrame, stride: int = STRIDE) -> DataFrame:
     """(node, level): all that is reachable from ``roots`` (node) over ``edges`` (parent, child), each node at its least level, roots at 0.
 
-    A round goes ``stride`` levels on from the nodes of the last one, leaves out those seen in earlier rounds, and
-    is written; the walk ends when a round finds nothing new, whatever the depth, so cycles end it too.  What was seen is kept
-    as a few written tables, put together every eighth round.  Null nodes are no nodes.
+    A node with one parent lies one level below it, so chains of such nodes are climbed by doubling (``_climbed``) and the walk itself goes
+    only over tops, where several parents meet: a step leads from a top to one that a node below it is a parent of.  A round goes
+    ``stride`` steps on from the tops that the last one reached or brought nearer, and is written; the walk ends when a round brings
+    nothing new, whatever the depth, so cycles end it too.  Null nodes are no nodes.
     """
     kept = written(edges.select("parent", "child").filter("parent is not null and child is not null"))
     front = written(roots.select("node").filter("node is not null").distinct().withColumn("level", F.lit(0)))
-    seen, rounds = [front], 0
-    while True:
+    below, above = _climbed(kept, front.select("node"))
+    met = above.join(front, "node", "left_anti").join(kept.select(F.col("child").alias("node"), "parent"), "node")
+    spots = below.unionAll(above.select("node", F.col("node").alias("top"), F.lit(0).alias("up")))
+    steps = met.withColumnRenamed("node", "to").join(spots.withColumnRenamed("node", "parent"), "parent")
+    steps = written(steps.groupBy("top", "to").agg((F.min("up") + 1).alias("far")))
+    seen = front
+    while not front.isEmpty() and not steps.isEmpty():
         level, found = front, None
         for _ in range(stride):
-            level = level.join(kept, level["node"] == kept["parent"]).select(F.col("child").alias("node"), (F.col("level") + 1).alias("level")).distinct()
+            level = level.join(steps, level["node"] == steps["top"]).groupBy(F.col("to").alias("node")).agg(F.min(F.col("level") + F.col("far")).alias("level"))
             found = level if found is None else found.unionAll(level)
-        known = seen[0]
-        for x in seen[1:]:
-            known = known.unionAll(x)
-        fresh = written(found.groupBy("node").agg(F.min("level").alias("level")).join(known.select("node"), "node", "left_anti"))
-        if fresh.isEmpty():
-            return known
-        seen, rounds = [*seen, fresh], rounds + 1
-        if len(seen) > 8:
-            whole = seen[0]
-            for x in seen[1:]:
-                whole = whole.unionAll(x)
-            seen = [written(whole)]
-        front = fresh.filter(F.col("level") == rounds * stride)
+        least = found.groupBy("node").agg(F.min("level").alias("level"))
+        front = written(least.join(seen.withColumnRenamed("level", "held"), "node", "left").filter("held is null or level < held").select("node", "level"))
+        if not front.isEmpty():
+            seen = written(seen.unionAll(front).groupBy("node").agg(F.min("level").alias("level")))
+    under = below.join(seen.withColumnRenamed("node", "top"), "top").select("node", (F.col("level") + F.col("up")).alias("level"))
+    return seen.unionAll(under)
 
 
 def descendants(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
