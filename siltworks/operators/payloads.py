@@ -79,7 +79,8 @@ def _clean(value: Column, depth: int) -> Column:
 
 def redact(json: Column) -> Column:
     """JSON with values of sensitive keys masked, large texts told by their length, other texts scrubbed, and whatever lies ``DEPTH`` levels down masked."""
-    return _clean(F.try_parse_json(json), 0)
+    # Bound, so that a text is parsed once.
+    return F.get(F.transform(F.array(F.try_parse_json(json)), lambda v: _clean(v, 0)), F.lit(0))
 
 
 def tag_shape(json: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from siltworks.operators import abilities, ordered, sections
+from siltworks.queries import payloads
 
 
 def stated(df) -> list[int]:
@@ -38,3 +39,10 @@ def test_findings_are_dealt_by_rows(spark, monkeypatch):
     dealt = stated(found)
     assert len(dealt) >= 6 and set(dealt) == {16}
     assert {(r.analysis, r.rule) for r in found.collect()} == {(a, abilities.RULES["sets"]) for a in (None, 7, 57, 107)}
+
+
+def test_redaction_is_dealt_by_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(payloads, "REDACTED_ROWS", 30)
+    spark.range(100).selectExpr("id AS event_id", "id AS user_id", "'click' AS event_type", """'{"a": 1}' AS props""").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found = payloads.r9_22_redacted_props(spark, str(tmp_path))
+    assert set(stated(found)) == {4} and found.count() == 100
