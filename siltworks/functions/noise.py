@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ PROJECT_PAGE = r"项目[一二三四五六七八九十\d].{1,30}\s+\d{1,3}"
 METRIC_VALUE = r"(同比\s*(增长|下降|增速)?\s*\d|\d[\d,.]*\s*(万亿元|亿元|万家|家|%|％|倍|个|万人|亿美元|万亿|亿|万))"
 POLICY_HEADING = r"^\s*([一二三四五六七八九十]+[、.．]|[（(][一二三四五六七八九十\d]+[）)]|\d+\s*[.．、]|第[一二三四五六七八九十\d]+[章节篇])\s*[^。！？!?；;\n]{2,60}\s*[。.]?\s*$"
 
-_any = lambda x, patterns: F.exists(F.array(*[x.rlike(p) for p in patterns]), lambda hit: hit)
+_any = lambda x, patterns: reduce(Column.__or__, [x.rlike(p) for p in patterns])
 _bare = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"^\s+|\s+$", "")
 
 
@@ -70,18 +72,23 @@ def dropped(kind: Column, text: Column, caption: Column, page: Column, area: Col
 
     Null texts and captions are empty, a null kind is that of a paragraph, a null area is a large one; tables are never empty media.
     """
-    said, label = _bare(text), _bare(caption)
-    plain, solid = F.regexp_replace(said, r"\s+", " "), F.regexp_replace(said, r"\s+", "")
     kind = F.coalesce(kind, F.lit("paragraph"))
     media = kind.isin("chart", "image", "table")
-    unlabelled = (said == "") | said.rlike(FOOTER) | said.rlike(DIGITS) | solid.rlike(PAGE_MARK) | said.rlike(SYMBOLS)
-    small = label.rlike(SHORT_LABEL) & ((said == "") | said.rlike(SYMBOLS)) & (F.coalesce(area, F.lit(float("inf"))) <= SMALL_AREA)
-    empty = (kind != "table") & F.when(label != "", small).otherwise(unlabelled)
-    echo = (F.coalesce(page, F.lit(0)) <= 5) & F.length(solid).between(8, 40) & ~solid.rlike(r"\d") & solid.rlike(TITLE_ECHO)
-    why = F.when(F.coalesce(decorative, F.lit(False)), "decorative").when((kind == "image") & said.rlike(QR_CODE) & said.rlike(QR_ONLY), "qr_code")
-    why = why.when(media & empty, "empty_media").when(media, F.lit(None).cast("string"))
-    why = why.when(said == "", "empty").when(said.rlike(FOOTER), "footer").when(said.rlike(DIGITS), "digits").when(said.rlike(SYMBOLS), "symbols").when(F.length(solid) < LEAST_CHARS, "short")
-    return why.when(_any(said, PROMOTION), "promotion").when(_any(plain, METADATA), "metadata").when(echo, "title_echo").when(is_contents(plain), "contents")
+
+    def of(x: Column) -> Column:
+        said, label, plain, solid = (x[c] for c in ("said", "label", "plain", "solid"))
+        unlabelled = (said == "") | said.rlike(FOOTER) | said.rlike(DIGITS) | solid.rlike(PAGE_MARK) | said.rlike(SYMBOLS)
+        small = label.rlike(SHORT_LABEL) & ((said == "") | said.rlike(SYMBOLS)) & (F.coalesce(area, F.lit(float("inf"))) <= SMALL_AREA)
+        empty = (kind != "table") & F.when(label != "", small).otherwise(unlabelled)
+        echo = (F.coalesce(page, F.lit(0)) <= 5) & F.length(solid).between(8, 40) & ~solid.rlike(r"\d") & solid.rlike(TITLE_ECHO)
+        why = F.when(F.coalesce(decorative, F.lit(False)), "decorative").when((kind == "image") & said.rlike(QR_CODE) & said.rlike(QR_ONLY), "qr_code")
+        why = why.when(media & empty, "empty_media").when(media, F.lit(None).cast("string"))
+        why = why.when(said == "", "empty").when(said.rlike(FOOTER), "footer").when(said.rlike(DIGITS), "digits").when(said.rlike(SYMBOLS), "symbols").when(F.length(solid) < LEAST_CHARS, "short")
+        return why.when(_any(said, PROMOTION), "promotion").when(_any(plain, METADATA), "metadata").when(echo, "title_echo").when(is_contents(plain), "contents")
+
+    # Bound, so that the forms of a text are made once, not for each pattern.
+    forms = lambda said: F.struct(said.alias("said"), _bare(caption).alias("label"), F.regexp_replace(said, r"\s+", " ").alias("plain"), F.regexp_replace(said, r"\s+", "").alias("solid"))
+    return F.get(F.transform(F.transform(F.array(_bare(text)), forms), of), F.lit(0))
 
 
 def is_policy_heading(text: Column) -> Column:

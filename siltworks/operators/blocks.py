@@ -12,6 +12,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from siltworks.functions import noise
 from siltworks.operators import tables
+from siltworks.operators.ordered import written
 
 HEADINGS, MEDIA = ["heading", "title"], ["table", "chart", "image", "code", "equation"]
 #: What ends a sentence; what begins an item; footers; what is said about a figure; marks of a publisher's page.
@@ -134,13 +135,14 @@ def repack_all(blocks: DataFrame) -> DataFrame:
     continuations merged, publishers' pages dropped, record tables taken apart (``row`` numbers what comes out of one), and every unit
     gets the last heading before it; of equal units of a document the first stays.
     """
-    rows = promoted(blocks)
+    why = noise.dropped(*[F.col(c) for c in ("block_type", "text", "caption", "page", "area", "decorative")])
+    columns = ("doc_id", "seq", "block_type", "page", "text", "caption", "hint")
+    rows = written(promoted(blocks).select(*columns, why.isNotNull().alias("dropped")))  # read by many branches
     slim = rows.select("doc_id", "seq", "block_type", "page", "text")
     cards = tables.metric_cards(slim)
     used = cards.select("doc_id", F.explode("consumed").alias("seq")).distinct()
     headings = slim.filter(_is(HEADINGS)).join(used, ["doc_id", "seq"], "left_anti")
-    why = noise.dropped(*[F.col(c) for c in ("block_type", "text", "caption", "page", "area", "decorative")])
-    kept = navigational(rows).filter(why.isNull())
+    kept = navigational(rows.filter("not dropped"))
     hosts = attributions(kept)
     merged = publication_pages(continuations(hosts, slim.filter(_is(HEADINGS))))
     told = merged.join(hosts.select("doc_id", "seq", "attached"), ["doc_id", "seq"]).join(rows.select("doc_id", "seq", "hint", "caption"), ["doc_id", "seq"])
