@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +167,55 @@ def test_near_copies_in_one_group_of_variants_are_all_linked(spark):
     assert {(1000 + (v * 17) % 40, v) for v in range(40)} <= found
 
 
+def seeds_of(*texts):
+    spans = [[{"first": 0, "last": 10**6}]] * len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(spans), pa.array(texts)], names=["doc_id", "spans", "text"])
+    rows = [r for b in substring_dedup._seeds(5, 46, 80)([batch]) for r in b.to_pylist()]
+    return [{r["seed"] for r in rows if r["doc_id"] == i} for i in range(len(texts))]
+
+
+def stutter(rng, n):
+    return [f"s{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def repeated(words, times):
+    return " ".join(" ".join([w] * k) for w, k in zip(words, times, strict=True))
+
+
+def test_a_word_that_goes_on_is_no_seed_but_similar_stutters_share_one():
+    rng = random.Random(47)
+    x, y = stutter(rng, 8), stutter(rng, 8)
+    y[4] = x[2]
+    a, b, c = seeds_of(repeated(x, [20] * 8), repeated(y, [19] * 8), repeated(x, [17, 22, 18, 25, 19, 17, 20, 24]))
+    assert not a & b and a & c
+
+
+def test_near_copies_among_stutters_in_large_groups_are_found(spark):
+    """A word goes on in all texts, so its group is large; each text has one near copy, far from it in the order."""
+    rng = random.Random(53)
+    rows = []
+    for v in range(30):
+        words = [*stutter(rng, 2), "on", *stutter(rng, 2), "on", *stutter(rng, 2)]
+        rows += [(i, f"{prose(rng, 20, 10**6)} {repeated(words, [rng.randrange(10, 26) for _ in words])} {prose(rng, 20, 10**6)}") for i in (v, 1000 + (v * 17) % 30)]
+    found = {(r.doc_id, r.other) for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()}
+    assert {(1000 + (v * 17) % 30, v) for v in range(30)} <= found
+
+
+def test_parts_of_boxes_are_taken_in_steps(monkeypatch):
+    monkeypatch.setattr(substring_dedup.textnp, "STEP_BYTES", 100)
+    boxes = [(i, {"part": b"x" * 30}) for i in range(10)]
+    steps = list(substring_dedup._in_steps(iter(boxes)))
+    assert [len(s) for s in steps] == [4, 4, 2] and [b for s in steps for b in s] == boxes
+
+
+def test_passages_of_too_few_shared_shingles_are_not_tried():
+    runs = lambda *ids: np.repeat(np.array(ids, np.uint64), 20)
+    x, y = runs(1, 2, 3, 4, 5, 6), runs(7, 8, 3, 9, 10, 11)
+    assert not substring_dedup.passages(x, y, 46, 80)
+    assert substring_dedup.passages(x, x, 46, 80)
+    assert list(substring_dedup._distinct(np.array([1, 1, 2, 1, 3, 3]), 3)) == [2, 2, 3, 2]
+
+
 def test_shared_runs_of_similar_passages():
     assert substring_dedup.shared_run(5, 46, 80) == 21
     assert substring_dedup.shared_run(5, 46, 100) == 46
